@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .minhash_dedup import OP1_SQL, op1_minhash_dedup
 from .quality_classifier import op6_quality_classifier
 
 QUERIES = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op6_quality_classifier": op6_quality_classifier,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_minhash_dedup": OP1_SQL}
