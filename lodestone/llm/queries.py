@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .decontamination import OP10_SQL, op10_decontamination
 from .minhash_dedup import OP1_SQL, op1_minhash_dedup
 from .quality_classifier import op6_quality_classifier
 
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op6_quality_classifier": op6_quality_classifier,
+    "op10_decontamination": op10_decontamination,
 }
 
-ORACLES: dict[str, str] = {"op1_minhash_dedup": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_minhash_dedup": OP1_SQL, "op10_decontamination": OP10_SQL}
