@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from .decontamination import OP10_SQL, op10_decontamination
+from .hilbert_sharding import op8_hilbert_sharding
 from .minhash_dedup import OP1_SQL, op1_minhash_dedup
+from .pfair_mixing import op5_pfair_mixing
 from .quality_classifier import op6_quality_classifier
 
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op5_pfair_mixing": op5_pfair_mixing,
     "op6_quality_classifier": op6_quality_classifier,
+    "op8_hilbert_sharding": op8_hilbert_sharding,
     "op10_decontamination": op10_decontamination,
 }
 
