@@ -7,13 +7,15 @@ from .hilbert_sharding import op8_hilbert_sharding
 from .minhash_dedup import OP1_SQL, op1_minhash_dedup
 from .pfair_mixing import op5_pfair_mixing
 from .quality_classifier import op6_quality_classifier
+from .quality_rules import OP7_SQL, op7_quality_rules
 
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op5_pfair_mixing": op5_pfair_mixing,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_quality_rules": op7_quality_rules,
     "op8_hilbert_sharding": op8_hilbert_sharding,
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLES: dict[str, str] = {"op1_minhash_dedup": OP1_SQL, "op10_decontamination": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_minhash_dedup": OP1_SQL, "op7_quality_rules": OP7_SQL, "op10_decontamination": OP10_SQL}
