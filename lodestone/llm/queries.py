@@ -8,9 +8,11 @@ from .minhash_dedup import OP1_SQL, op1_minhash_dedup
 from .pfair_mixing import op5_pfair_mixing
 from .quality_classifier import op6_quality_classifier
 from .quality_rules import OP7_SQL, op7_quality_rules
+from .warc import OP2_SQL, op2_warc
 
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_warc": op2_warc,
     "op5_pfair_mixing": op5_pfair_mixing,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_quality_rules": op7_quality_rules,
@@ -18,4 +20,4 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLES: dict[str, str] = {"op1_minhash_dedup": OP1_SQL, "op7_quality_rules": OP7_SQL, "op10_decontamination": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_minhash_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op7_quality_rules": OP7_SQL, "op10_decontamination": OP10_SQL}
