@@ -10,11 +10,13 @@ from .pfair_mixing import op5_pfair_mixing
 from .pii import op4_pii
 from .quality_classifier import op6_quality_classifier
 from .quality_rules import OP7_SQL, op7_quality_rules
+from .toxicity import op3_toxicity
 from .warc import OP2_SQL, op2_warc
 
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_warc": op2_warc,
+    "op3_toxicity": op3_toxicity,
     "op4_pii": op4_pii,
     "op5_pfair_mixing": op5_pfair_mixing,
     "op6_quality_classifier": op6_quality_classifier,
