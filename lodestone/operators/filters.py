@@ -66,7 +66,7 @@ class VariantField(Field):
 
 
 class PlainField(Field):
-    """A column of a scalar type; SQL NULL is a missing path."""
+    """A column of a scalar type; SQL NULL is a missing path. Tests are written so that they are never null and reach the scan."""
 
     def __init__(self, value: Column, kind: str):
         self.value, self.kind = value, kind
@@ -82,7 +82,7 @@ class PlainField(Field):
 
     def equals(self, value: Any) -> Column:
         same = {bool: self.kind == "boolean", str: self.kind == "string"}.get(type(value), isinstance(value, int | float) and bool(re.match("tinyint|smallint|int|bigint|float|double|decimal", self.kind)))
-        return F.coalesce(self.value == F.lit(value), F.lit(False)) if same and value is not None else F.lit(False)
+        return self.value.isNotNull() & (self.value == F.lit(value)) if same and value is not None else F.lit(False)
 
 
 def variant_path(root: Column, path: str) -> Column:
@@ -141,7 +141,8 @@ def _operator(field: Field, op: str, operand: Any, dialect: str) -> Column:
         if isinstance(operand, bool) or not isinstance(operand, int | float):
             return false
         n = field.number()
-        return F.coalesce({"$gt": n > operand, "$gte": n >= operand, "$lt": n < operand, "$lte": n <= operand}[op], false)
+        holds = {"$gt": n > operand, "$gte": n >= operand, "$lt": n < operand, "$lte": n <= operand}[op]
+        return n.isNotNull() & holds if isinstance(field, PlainField) else F.coalesce(holds, false)
     if op in ("$in", "$nin"):
         if not isinstance(operand, list):
             return false
