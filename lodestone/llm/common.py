@@ -53,6 +53,15 @@ def broadcast_if_small(df: DataFrame, rows: int | None = None, limit: int = BROA
     return F.broadcast(df) if n <= limit else df.hint("shuffle_merge")
 
 
+def bounded_batches(spark: SparkSession, size: int = 4 << 20, rows: int = 2000) -> None:
+    """Bounds what a Python worker holds at once: Arrow batches by bytes and rows, where the session asks for more."""
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", size), ("spark.sql.execution.arrow.maxRecordsPerBatch", rows)):
+        now = spark.conf.get(key, None)
+        now = int(now) if now and now.lstrip("-").isdigit() else 0
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
 def crc_mod(doc_id: str, modulus: int):
     """crc32 of the id's decimal text, modulo a number."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus

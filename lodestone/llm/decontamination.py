@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, broadcast_if_small, read_table
+from .common import Scratch, bounded_batches, broadcast_if_small, read_table
 from .hashing import shingles, word_hashes
 
 WORDS = 5
@@ -165,6 +165,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     match nothing. Equal rows give equal pairs once.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("_text")).where("doc_id IS NOT NULL AND _text IS NOT NULL")
     schema, out = "doc_id long, item_id long, hits long, size long", None
     for index in item_blocks(items):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, broadcast_if_small, read_table
+from .common import Scratch, bounded_batches, broadcast_if_small, read_table
 from .components import connected_components
 from .hashing import fingerprint, mix, shingles, word_hashes
 
@@ -112,6 +112,7 @@ def near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
     set and are linked with nothing; a null doc_id has a null component_id and
     is linked with nothing. Other columns, whatever their names, are ignored.
     """
+    bounded_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "minhash")
     rows = scratch.keep(sketches(docs, k), "sketches")
     live = rows.where("n > 0 AND doc_id IS NOT NULL")
