@@ -174,11 +174,16 @@ def fit(texts: list[str], toxic: list[int]) -> dict:
     missing = sorted({v for bag in bags for v in bag} - table.keys())
     table |= dict(zip(missing, kernel(missing, landmarks) @ np.array(model["beta"]) + model["bias"], strict=True)) if missing else {}
     worst = np.array([max((table[v] for v in bag), default=-2.0) for bag in bags])
-    y, a, b = np.array(toxic, float), 1.0, 0.0
+    # the calibration also sees each toxic text's worst window with a letter put in
+    put = [max(bag, key=lambda v: (table[v], v)) for bag, y in zip(bags, toxic, strict=True) if y and bag]
+    put = [(w[: (at := int(rng.integers(1, len(w))))] + letters[int(rng.integers(26))] + w[at:])[:WIDTH] for w in put]
+    gapped = kernel(put, landmarks) @ np.array(model["beta"]) + model["bias"] if put else np.zeros(0)
+    y, a, b = np.concatenate([np.array(toxic, float), np.ones(len(gapped))]), 1.0, 0.0
+    worst, mass = np.concatenate([worst, gapped]), np.concatenate([np.ones(len(toxic)), np.full(len(gapped), 0.3)])
     target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
     for _ in range(50):  # logistic calibration
         p = 1 / (1 + np.exp(-np.clip(a * worst + b, -30, 30)))
-        r, v = p - target, np.maximum(p * (1 - p), 1e-6)
+        r, v = mass * (p - target), mass * np.maximum(p * (1 - p), 1e-6)
         h = np.array([[(v * worst * worst).sum() + 1e-3, (v * worst).sum()], [(v * worst).sum(), v.sum() + 1e-3]])
         step = np.linalg.solve(h, [(r * worst).sum(), r.sum()])
         a, b = a - np.clip(step[0], -2, 2), b - np.clip(step[1], -2, 2)
