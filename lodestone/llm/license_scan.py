@@ -52,7 +52,7 @@ def best_segment(grams: np.ndarray, template: np.ndarray, threshold: float) -> t
     """Score and first and last bigram of the best segment, the leftmost and then shortest; (0, 0, 0) under the threshold."""
     hit = np.flatnonzero(np.isin(grams, template))
     size, wanted = len(template), set(template.tolist())
-    least, most = size * threshold / (2 - threshold), size * (2 - threshold) / threshold
+    least, most = size * threshold / (2 - threshold) - 1e-9, size * (2 - threshold) / threshold + 1e-9
     if len(np.unique(grams[hit])) < least:
         return 0.0, 0, 0
     best, hits, values = (0.0, 0, 0), set(hit.tolist()), grams.tolist()
