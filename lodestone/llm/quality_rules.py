@@ -85,7 +85,7 @@ def cutoffs(rows: DataFrame, labels: DataFrame, risk: float = RISK, loss: float
     long = known.select("_stratum", "_good", F.explode(F.create_map(*(x for rule in RULES for x in (F.lit(rule), F.col(f"_{rule}"))))).alias("_rule", "_level"))
     tally = long.groupBy("_stratum", "_rule", "_level").agg(F.sum("_good").alias("_g"), F.sum(1 - F.col("_good")).alias("_b"))
     every = Window.partitionBy("_stratum", "_rule")
-    grid = tally.select("_stratum", "_rule").distinct().crossJoin(tally.sparkSession.range(LEVELS).select(F.col("id").cast("int").alias("_cut")))  # STRATA x RULES x LEVELS rows
+    grid = tally.select("_stratum", "_rule").distinct().withColumn("_cut", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))  # STRATA x RULES x LEVELS rows
     t = tally.select(F.col("_stratum").alias("_s"), F.col("_rule").alias("_r"), "_level", "_g", "_b")
     counted = (
         grid.join(t, (F.col("_stratum") == F.col("_s")) & (F.col("_rule") == F.col("_r")))
