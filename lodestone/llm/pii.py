@@ -1,9 +1,9 @@
 """Personal data: patterns for protected values, and terms that disclose them by corpus co-occurrence.
 
-E-mail, IP, card and phone values are found by pattern in whole texts. Around each
-value the nearby terms are counted over all documents; a term t discloses a value e
+E-mail, IP, card and phone values are found by pattern in whole texts, and documents
+are counted: n(e) hold a value, n(t) a term, n(e,t) both, of N. A term t discloses a value e
 when log2(n(e,t) N / (n(e) n(t))) reaches DISCLOSURE of log2(N / n(e)), the
-value's information content, with n(e,t) seen in at least SUPPORT different texts.
+value's information content; a value of a single document counts like any other.
 Disclosing terms become spans of kind `term` wherever they stand: sanitising
 replaces protected values by their kind, generalises terms to [TERM] and removes
 those that disclose completely.
@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_batches, read_table
-from .hashing import fingerprint, shingles, word_hashes
+from .common import Scratch, bounded_batches, broadcast_if_small, read_table
+from .hashing import shingles, word_hashes
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Words on each side of a value that count as near; texts that must show a pair; share of a value's information.
-NEAR, SUPPORT, DISCLOSURE = 10, 3, 0.9
-#: Terms that one pass over the documents looks for.
-TERM_BLOCK = 2_000_000
+#: Share of a value's information.
+DISCLOSURE = 0.9
+#: Disclosing terms shipped as one block; terms that a task holds before it merges their counts.
+TERM_BLOCK, MERGE = 2_000_000, 1 << 20
 
 _DIGIT = re.compile(r"[0-9]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -75,51 +75,55 @@ def _hash(texts: list[bytes]) -> np.ndarray:
     return np.array([h[0] if len(h) else 0 for h in (shingles(w, max(1, len(w))) for w in word_hashes(texts))], np.uint64).view(np.int64)
 
 
-def contexts(docs: DataFrame) -> DataFrame:
-    """value, term, text: hashes of each value, of each near term (0: the value itself), and of the document's text; once a document."""
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct terms of all parts with their summed counts."""
+    terms, at = np.unique(np.concatenate([t for t, _ in parts]), return_inverse=True)
+    return terms, np.bincount(at, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values, terms, names = [], [], []
-            for text in batch.column("text").to_pylist():
-                spans = base_spans(text) if text and ("@" in text or _DIGIT.search(text)) else []
-                if not spans:
-                    continue
-                words = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(text)]
-                starts = np.array([w[0] for w in words])
-                hidden = {i for _, s, e in spans for i in range(int(np.searchsorted(starts, s, "right")) - 1, int(np.searchsorted(starts, e)))}
-                pairs = set()
-                for kind, s, e in spans:
-                    value = f"{kind}:{text[s:e].lower().replace(' ', '')}"
-                    first, last = int(np.searchsorted(starts, s, "right")) - 1, int(np.searchsorted(starts, e)) - 1
-                    pairs.add((value, ""))
-                    pairs |= {(value, words[i][2]) for i in range(max(0, first - NEAR), min(len(words), last + NEAR + 1)) if i not in hidden}
-                pairs = sorted(pairs)
-                values.append(_hash([p[0].encode() for p in pairs]))
-                terms.append(_hash([p[1].encode() for p in pairs]))
-                names.append(np.full(len(pairs), fingerprint(next(word_hashes([text.encode()])))[1], np.int64))
-            columns = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (values, terms, names)]
-            yield pa.RecordBatch.from_arrays(columns, ["value", "term", "text"])
-
-    return docs.select("text").where("text IS NOT NULL").mapInArrow(run, "value long, term long, text long")
-
-
-def _term_counts(docs: DataFrame, terms: np.ndarray) -> DataFrame:
-    """term, n: the documents that hold each of the given terms."""
-    shipped = docs.sparkSession.sparkContext.broadcast(terms)
+
+def occurrences(docs: DataFrame) -> DataFrame:
+    """Rows of two kinds: term and n, documents of a task that hold the term; values and terms, all that a document with values holds.
+
+    All are hashes. Words that touch a value are no terms of their document.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = shipped.value
-        for batch in batches:
-            seen = []
-            for words in word_hashes(batch.column("text").to_pylist()):
-                own = np.unique(term_hashes(words))
-                low = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
-                seen.append(own[wanted[low] == own])
-            term, n = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.int64),) * 2
-            yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(n.astype(np.int64))], ["term", "n"])
+        names, longs = ["term", "n", "values", "terms"], pa.list_(pa.int64())
+        parts, size = [], 0
+
+        def counts() -> pa.RecordBatch:
+            term, n = _merged(parts)
+            return pa.RecordBatch.from_arrays([pa.array(term), pa.array(n), pa.nulls(len(term), longs), pa.nulls(len(term), longs)], names)
 
-    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+        for batch in batches:
+            texts, values, terms = batch.column("text").to_pylist(), [], []
+            for text, words in zip(texts, word_hashes([t.encode() for t in texts]), strict=True):
+                own = term_hashes(words)
+                spans = base_spans(text) if "@" in text or _DIGIT.search(text) else []
+                if spans:
+                    starts = np.array([m.start() for m in _WORD.finditer(text)])
+                    hidden = {i for _, s, e in spans for i in range(int(np.searchsorted(starts, s, "right")) - 1, int(np.searchsorted(starts, e)))}
+                    own = np.delete(own, sorted(hidden))
+                own = np.unique(own)
+                if spans:
+                    found = sorted({f"{kind}:{text[s:e].lower().replace(' ', '')}".encode() for kind, s, e in spans})
+                    values.append(_hash(found).tolist())
+                    terms.append(own.tolist())
+                if len(own):
+                    parts.append((own, np.ones(len(own), np.int64)))
+                    size += len(own)
+                if size > MERGE:
+                    parts = [_merged(parts)]
+                    size = len(parts[0][0])
+                    if 2 * size > MERGE:
+                        yield counts()
+                        parts, size = [], 0
+            if values:
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(len(values), pa.int64())] * 2, pa.array(values, longs), pa.array(terms, longs)], names)
+        if parts:
+            yield counts()
+
+    return docs.select("text").where("text IS NOT NULL").mapInArrow(run, "term long, n long, values array<long>, terms array<long>")
 
 
 def term_hashes(words: np.ndarray) -> np.ndarray:
@@ -127,28 +131,37 @@ def term_hashes(words: np.ndarray) -> np.ndarray:
     return shingles(words, 1).view(np.int64)
 
 
-def disclosing_terms(docs: DataFrame, near: int = NEAR, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Sorted term hashes with whether each discloses completely, in blocks of at most TERM_BLOCK; statistics cover all documents."""
+def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sorted term hashes with whether each discloses completely, in blocks of at most about TERM_BLOCK; statistics cover all documents.
+
+    With d for disclosure, a term passes where log2 n(e,t) - (1 - d) log2 n(e) reaches log2 n(t) - (1 - d) log2 N
+    for some value e: the left side is brought to its greatest per term before terms meet their counts.
+    """
     scratch = Scratch(docs.sparkSession, "disclosure")
-    pairs = scratch.keep(contexts(docs), "contexts")
-    counted = pairs.groupBy("value", "term", "text").agg(F.count("*").alias("c")).groupBy("value", "term").agg(F.sum("c").alias("n_et"), F.count("*").alias("texts"))
-    strong = scratch.keep(counted.where(F.col("texts") >= support), "pairs")
-    total = docs.count()
-    value = strong.where("term = 0").select(F.col("value").alias("_v"), F.col("n_et").alias("n_e"))
-    near_terms = scratch.keep(strong.where("term <> 0").join(value, F.col("value") == F.col("_v")).select("value", "term", "n_et", "n_e"), "terms")
-    candidates = near_terms.select("term").distinct()
-    blocks = -(-candidates.count() // TERM_BLOCK)
+    rows, total = scratch.keep(occurrences(docs), "occurrences"), docs.count()
+    held = rows.where("values IS NOT NULL").select(F.xxhash64("values", "terms").alias("_doc"), "values", "terms")
+    named = held.select("_doc", F.explode("values").alias("_v"))
+    by_value = named.groupBy("_v").agg(F.count("*").alias("n_e"), F.sum(F.col("_doc").cast("decimal(20,0)")).alias("_docs"))
+    values = scratch.keep(by_value.where(F.col("n_e") < total), "values")
+    # a value of one document has n(e,t) = n(e) = 1 with all terms there
+    lone = named.join(broadcast_if_small(values.where("n_e > 1").select("_v")), "_v", "left_anti").select("_doc").distinct()
+    alone = held.join(broadcast_if_small(lone), "_doc", "left_semi").where(F.lit(total > 1)).select(F.explode("terms").alias("term"), F.lit(1).cast("long").alias("n_e"), F.lit(1).cast("long").alias("n_et"))
+    # values of the very same documents have the same terms: one of them stands for all
+    several = values.where("n_e > 1").groupBy("n_e", "_docs").agg(F.min("_v").alias("_v")).select("_v", "n_e")
+    each = held.select(F.explode("values").alias("_v"), "terms").join(broadcast_if_small(several), "_v").select("_v", "n_e", F.explode("terms").alias("term"))
+    shared = each.groupBy("_v", "n_e", "term").agg(F.count("*").alias("n_et")).select("term", "n_e", "n_et")
+    rest = 1 - disclosure
+    best = alone.unionByName(shared).groupBy("term").agg(F.max(F.log2("n_et") - rest * F.log2("n_e")).alias("_gain"), F.max("n_et").alias("_most"))
+    counts = rows.where("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("n_t"))
+    told = best.join(counts, "term").where(F.col("_gain") >= F.log2("n_t") - rest * F.log2(F.lit(float(total))) - 1e-9)
+    found = scratch.keep(told.select("term", (F.col("_most") >= F.col("n_t")).cast("byte").alias("complete")), "told") if total else None
+    blocks = -(-found.count() // TERM_BLOCK) if total else 0
     for b in range(blocks):
-        part = F.pmod(F.xxhash64("term"), F.lit(blocks)) == b
-        asked = np.sort(np.array([r.term for r in candidates.where(part).toLocalIterator()], np.int64))
-        if not len(asked):
-            continue
-        counts = scratch.keep(_term_counts(docs, asked), f"counts-{b}").select(F.col("term").alias("_t"), F.col("n").alias("n_t"))
-        joined = near_terms.where(part).join(counts, F.col("term") == F.col("_t"))
-        told = F.log2(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.col("n_t"))) / F.log2(F.lit(float(total)) / F.col("n_e"))
-        found = joined.where((F.col("n_e") < total) & (told >= disclosure)).groupBy("term").agg(F.max((told >= 1).cast("int")).alias("complete")).orderBy("term").collect()
-        if found:
-            yield np.array([r.term for r in found], np.int64), np.array([r.complete for r in found], np.int8)
+        part = found.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == b).toArrow()
+        terms, complete = part.column("term").to_numpy(), part.column("complete").to_numpy()
+        if len(terms):
+            order = np.argsort(terms)
+            yield terms[order], complete[order]
 
 
 def _term_spans(text: str, base: list[tuple[str, int, int]], hashes: np.ndarray, terms: np.ndarray, complete: np.ndarray) -> list[tuple[str, int, int, bool]]:

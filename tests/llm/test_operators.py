@@ -155,6 +155,27 @@ def test_disclosing_terms(spark):
     assert pii.find(frame(spark, [])).count() == 0
 
 
+def test_terms_of_values_in_one_or_two_texts(spark):
+    """Against brute force over whole documents: values of one, two and many texts, terms far from their value."""
+    far = prose(40, 7)
+    rows = [(1, f"Quillon {far} q@one.example.com"), (2, f"10.1.2.3 {far} Vexley"), (3, f"Vexley {far} 10.1.2.3"), (4, f"Vexley {far}"), (5, None), (6, "no@corp.example.com alone")]
+    rows += [(10 + i, prose(50, 700 + i)) for i in range(30)] + [(50 + i, f"Orrin all@corp.example.com {prose(5, 800 + i)}") for i in range(5)]
+    texts = {i: (t or "").split() for i, t in rows}
+    values = {"q@one.example.com", "10.1.2.3", "all@corp.example.com", "no@corp.example.com"}
+    bags = [{w.lower() for w in t} for t in texts.values()]
+    n, want = len(rows), set()
+    for t in set().union(*bags) - values:
+        n_t = sum(t in b for b in bags)
+        for e in values:
+            n_e, n_et = sum(e in b for b in bags), sum(e in b and t in b for b in bags)
+            if n_et and np.log2(n_et * n / (n_e * n_t)) >= 0.9 * np.log2(n / n_e) - 1e-9:
+                want.add(t)
+    found = {r.doc_id: r for r in pii.find(frame(spark, rows)).collect()}
+    assert {"quillon", "orrin", "alone"} <= want
+    assert {i: r.n_term for i, r in found.items()} == {i: sum(w.lower() in want for w in t) for i, t in texts.items()}
+    assert "Quillon" not in found[1].sanitised and "Orrin" not in found[50].sanitised
+
+
 # 5
 
 
