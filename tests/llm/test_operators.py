@@ -198,6 +198,21 @@ def test_mixture(spark):
     assert pfair_mixing.mix(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("temperature", [1.0, 0.7])
+def test_mixture_keeps_target_weights(spark, temperature):
+    """Sources of unlike sizes, one ten times the others: under one block off the exact weights, over many slots."""
+    sizes = {f"s{i}": 600 + i for i in range(20)} | {"hot": 6007}
+    rows = [(at * 100 + i, "t", "en", s) for i, s in enumerate(sizes) for at in range(sizes[s])]
+    blocks = pfair_mixing.mix(frame(spark, rows), temperature, 1).toPandas()
+    assert len(blocks) == len(rows) and blocks._slot.is_unique
+    assert ((blocks._release <= blocks._slot) & (blocks._slot < blocks._deadline)).all()
+    exact = blocks[blocks._exact].sort_values("_slot")
+    assert (exact._slot.values == np.arange(len(exact))).all() and len(exact) > 12_000
+    total = sum(n**temperature for n in sizes.values())
+    for s, n in sizes.items():
+        assert np.abs((exact.source == s).cumsum().values - n**temperature / total * np.arange(1, len(exact) + 1)).max() < 1
+
+
 # 7
 
 
