@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and reads whole texts. All but the last
 return the columns of docs: the mixing stage keeps every row and lays the rows
-out in mixture order, the last returns each document's place in the shards.
+out in mixture order over its files; the last cuts that order into WINDOWS and returns
+each document's place in the shards, which follow the windows.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 from lodestone.llm import decontamination, hilbert_sharding, minhash_dedup, pfair_mixing, quality_classifier
 from lodestone.llm.common import Scratch, read_table
 
+#: Runs of the mixture that are sharded one after another.
+WINDOWS = 4
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts to be good; the fit leaves out the held-out fold, as in op6."""
@@ -35,13 +39,13 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in mixture order; the targets are the sources' own shares, so every block has its slot."""
-    return pfair_mixing.mixed_order(docs, temperature=1.0)
+    """All documents in mixture order, by op5's target weights: large sources come late beyond their target."""
+    return pfair_mixing.mixed_order(docs, pfair_mixing.TEMPERATURE)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's shard and slot along the Hilbert curve."""
-    return hilbert_sharding.shard(docs)
+    """Every document's shard and slot: windows of the mixture as the files have it, in each along the Hilbert curve."""
+    return hilbert_sharding.shard(hilbert_sharding.file_positions(docs, "_mixed"), order="_mixed", windows=WINDOWS)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("leaks", leaks), ("mixture", mixture), ("shards", shards)]

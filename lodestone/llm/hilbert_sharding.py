@@ -46,13 +46,25 @@ def hilbert_index(df: DataFrame, dims: list[str], name: str, bits: int = BITS) -
     return df.withColumn(name, index).drop(*x, "_turn")
 
 
-def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+def file_positions(docs: DataFrame, name: str) -> DataFrame:
+    """docs, read from files that one job wrote in order, with the place from 0 of each row in that order."""
+    rows = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    files = rows.groupBy("_file").agg(F.count("*").alias("_n"))
+    upto = Window.orderBy("_name").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row a file
+    starts = files.select(F.col("_file").alias("_name"), "_n").select("_name", (F.sum("_n").over(upto) - F.col("_n")).alias("_start"))
+    placed = rows.join(F.broadcast(starts), F.col("_file") == F.col("_name"))
+    return placed.select(*(F.col(f"`{c}`") for c in docs.columns), (F.col("_start") + F.col("_row")).alias(name))
+
+
+def shard(docs: DataFrame, shards: int = SHARDS, order: str | None = None, windows: int = 1) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard and hilbert for every row of docs.
 
     The law is `rows`: shard counts differ by one at most, and slot runs from 0
     without gaps in each shard. A null text has size 1 and the checksum 0 of no
     bytes; null source or language is cell 0; repeated rows each get a slot.
-    Other columns are ignored. An empty table gives no rows.
+    Other columns are ignored. An empty table gives no rows. With order, a column of
+    places 0 to n - 1, that order is cut into windows of equal counts, a divisor of
+    shards: each has the next shards, along the curve, so shards keep the order of windows.
     """
     cell = lambda c: F.coalesce(F.crc32(F.col(c).cast("binary")) % (1 << BITS), F.lit(0)).cast("int")
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -62,12 +74,15 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         F.crc32(text.cast("binary")).alias("text_crc32"),
         cell("source").alias("_source"),
         cell("lang").alias("_lang"),
+        (F.lit(0) if order is None else F.col(order)).cast("long").alias("_place"),
     )
     rows = rows.withColumn("_size", F.least(F.length(F.bin("size")) - 1, F.lit((1 << BITS) - 1)).cast("int"))
     rows = hilbert_index(rows, ["_source", "_lang", "_size"], "hilbert").drop("_source", "_lang", "_size")
     rows = Scratch(docs.sparkSession, "hilbert").keep(rows, "cells")  # a few numbers a row; texts are read once
-    ranked, cells = rank_in_group(rows, "hilbert", F.xxhash64("doc_id", "text_crc32"), [F.col("doc_id"), F.col("text_crc32"), F.col("size")])
-    # at most 2^(3 * BITS) cells, whatever the input: one small window, one broadcast of fixed size
+    n = rows.count() if order is not None else 1
+    rows = rows.withColumn("_run", F.shiftleft(F.expr(f"(_place * {windows}) DIV {max(n, 1)}"), 3 * BITS).bitwiseOR(F.col("hilbert")))
+    ranked, cells = rank_in_group(rows, "_run", F.xxhash64("doc_id", "text_crc32"), [F.col("doc_id"), F.col("text_crc32"), F.col("size")])
+    # at most 2^(3 * BITS) cells a window, whatever the input: one small window, one broadcast of fixed size
     upto = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     starts = cells.select(F.col("_group").alias("_cell"), (F.sum("_rows").over(upto) - F.col("_rows")).alias("_start"), F.sum("_rows").over(Window.partitionBy(F.lit(0))).alias("_all"))
     placed = ranked.join(F.broadcast(starts), F.col("_group") == F.col("_cell")).withColumn("_at", F.col("_start") + F.col("_rank"))

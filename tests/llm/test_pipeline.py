@@ -49,3 +49,19 @@ def test_stages(spark, stages):
 
 def test_run(spark, stages):
     assert sorted(map(str, corpus_pipeline.run(spark, SF).collect())) == sorted(map(str, stages["shards"].collect()))
+
+
+def test_mixture_reaches_the_shards(spark):
+    """A source with a third of the rows: the first shards have it at its target weight, and without the stage they don't."""
+    names = ["hot"] * 6000 + [f"s{i % 10}" for i in range(12_000)]
+    rows = spark.createDataFrame([(i, f"text {i}", "en", s) for i, s in enumerate(names)], "doc_id long, text string, lang string, source string")
+    scratch, docs = Scratch(spark, "hot"), rows.repartition(4)
+    mixed = scratch.keep(corpus_pipeline.mixture(spark, scratch.keep(docs, "docs"), SF), "mixed")
+    of = lambda df: corpus_pipeline.shards(spark, df, SF).join(rows, "doc_id").toPandas()
+    with_, without = of(mixed), of(scratch.keep(docs, "plain"))
+    assert sorted(with_.doc_id) == sorted(without.doc_id) == list(range(len(names)))
+    weight = 6000**0.7 / (6000**0.7 + 10 * 1200**0.7)
+    first = lambda df: (df[df.shard < 4].source == "hot").mean()
+    assert abs(first(with_) - weight) < 0.02 and abs(first(without) - 1 / 3) < 0.04
+    counts = with_.groupby("shard").slot.agg(["size", "max"])
+    assert len(counts) == 16 and counts["size"].max() - counts["size"].min() <= 1 and (counts["max"] + 1 == counts["size"]).all()
