@@ -9,6 +9,7 @@ and segments never grow past the upper bound.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,14 +49,14 @@ def bigrams(texts: list[bytes | None]) -> Iterator[np.ndarray]:
         yield mix(words[:-1] * np.uint64(3) + words[1:])
 
 
-def best_segment(grams: np.ndarray, template: np.ndarray, threshold: float) -> tuple[float, int, int]:
-    """Score and first and last bigram of the best segment, the leftmost and then shortest; (0, 0, 0) under the threshold."""
+def segments(grams: np.ndarray, template: np.ndarray, threshold: float) -> Iterator[tuple[float, int, int]]:
+    """Score and first and last bigram of every segment at or above the threshold, by first, then last bigram."""
     hit = np.flatnonzero(np.isin(grams, template))
     size, wanted = len(template), set(template.tolist())
     least, most = size * threshold / (2 - threshold) - 1e-9, size * (2 - threshold) / threshold + 1e-9
     if len(np.unique(grams[hit])) < least:
-        return 0.0, 0, 0
-    best, hits, values = (0.0, 0, 0), set(hit.tolist()), grams.tolist()
+        return
+    hits, values = set(hit.tolist()), grams.tolist()
     for s in hit.tolist():
         seen, both = set(), 0
         for e in range(s, len(values)):
@@ -64,15 +65,32 @@ def best_segment(grams: np.ndarray, template: np.ndarray, threshold: float) -> t
                 if len(seen) > most:
                     break
                 both += values[e] in wanted
-            if e in hits and (score := 2 * both / (len(seen) + size)) > best[0] and score >= threshold:
-                best = (score, s, e)
-    return best
+            if e in hits and (score := 2 * both / (len(seen) + size)) >= threshold and score > 0:
+                yield score, s, e
+
+
+def best_segment(grams: np.ndarray, template: np.ndarray, threshold: float) -> tuple[float, int, int]:
+    """Score and first and last bigram of the best segment, the leftmost and then shortest; (0, 0, 0) under the threshold."""
+    return min(segments(grams, template, threshold), key=lambda x: (-x[0], x[1], x[2]), default=(0.0, 0, 0))
+
+
+def apart(found: list[tuple[float, str, int, int]]) -> list[tuple[float, str, int, int]]:
+    """Of overlapping segments (score, id, first, last) the best, ties to the first id, then the leftmost and shortest; best first."""
+    kept, firsts, lasts = [], [], []
+    for score, name, s, e in sorted(found, key=lambda x: (-x[0], *x[1:])):
+        at = bisect_left(firsts, s)
+        if (at and lasts[at - 1] >= s) or (at < len(firsts) and firsts[at] <= e):
+            continue
+        firsts.insert(at, s)
+        lasts.insert(at, e)
+        kept.append((score, name, s, e))
+    return kept
 
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, licenses, license, dice, start_word and end_word (exclusive) for every row of docs.
 
-    licenses lists the ids found, sorted and comma-joined, where of overlapping segments the best counts; license, dice and the
+    licenses lists the ids found, sorted and comma-joined, where of overlapping segments of all templates the best counts; license, dice and the
     words (of the normalised text) are those of the best, ties to the first id.
     Null, empty or clean texts have '' and 0. Equal rows give equal rows.
     """
@@ -85,22 +103,11 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, thresho
         for batch in batches:
             rows = []
             for grams in bigrams(batch.column("_text").to_pylist()):
-                found = {}
+                kept = []
                 if np.isin(grams, every).any():
-                    for name, template in sets:
-                        got = best_segment(grams, template, threshold)
-                        if got[0] > found.get(name, (0.0,))[0]:
-                            found[name] = got
-                taken = []
-                for name in sorted(found, key=lambda x: (-found[x][0], x)):  # of overlapping segments the best one counts
-                    _, s, e = found[name]
-                    if any(s <= f and b <= e for b, f in taken):
-                        del found[name]
-                    else:
-                        taken.append((s, e))
-                best = min(found, key=lambda x: (-found[x][0], x), default="")
-                score, s, e = found.get(best, (0.0, 0, -2))
-                rows.append((",".join(sorted(found)), best, score, s, e + 2))
+                    kept = apart([(score, name, s, e) for name, template in sets for score, s, e in segments(grams, template, threshold)])
+                score, best, s, e = kept[0] if kept else (0.0, "", 0, -2)
+                rows.append((",".join(sorted({name for _, name, _, _ in kept})), best, score, s, e + 2))
             kinds = (pa.string(), pa.string(), pa.float64(), pa.int64(), pa.int64())
             columns = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 5, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "licenses", "license", "dice", "start_word", "end_word"])

@@ -282,6 +282,15 @@ def test_best_segment_matches_brute_force():
         assert license_scan.best_segment(grams, template, 0.8)[0] == (want if want >= 0.8 else 0.0)
 
 
+def test_relatives_in_one_text(spark):
+    """A relative's better match on another notice hides none of a license's own notices."""
+    three, two = license_scan.TEMPLATES["GPL-3.0"][0], "This tool is licensed under the GNU General Public License, version 2."
+    rows = [(1, f"{three} {prose(40, 1)} {two}"), (2, f"{two} {prose(40, 2)} {three} {prose(40, 3)} {three}"), (3, three), (4, " and ".join([three, two] * 20))]
+    found = {r.doc_id: r for r in license_scan.scan(frame(spark, rows)).collect()}
+    assert [found[i].licenses for i in (1, 2, 3, 4)] == ["GPL-2.0,GPL-3.0", "GPL-2.0,GPL-3.0", "GPL-3.0", "GPL-2.0,GPL-3.0"]
+    assert (found[1].license, found[1].dice, found[1].start_word) == ("GPL-3.0", 1.0, 0)
+
+
 # 10
 
 
