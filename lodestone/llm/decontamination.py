@@ -7,8 +7,9 @@ of block minima, so an item keeps a Jaccard similarity near 0.2 with what holds
 it however long the document is. A window that shares a minimum with an item
 makes (document, item) a candidate; the document's whole shingle set decides.
 Over 64 hashes a true pair is missed with a chance of about one in a million,
-also where its shingles are scattered. Items of up to 4 shingles are looked up
-shingle by shingle, which is exact.
+also where its shingles are scattered. Items of up to 4 shingles, and items that
+repeat more than a sixteenth of theirs, whose windows would be too wide for their
+distinct shingles, are looked up shingle by shingle, which is exact.
 """
 
 from __future__ import annotations
@@ -50,7 +51,7 @@ class ItemIndex:
                 sequence = shingles(words, WORDS)
                 members = np.unique(sequence)
                 size = len(sequence)
-                level = -1 if len(members) <= 4 else max(0, int(np.ceil(np.log2(size / SMALLEST_BLOCK))))
+                level = -1 if len(members) <= 4 or 16 * len(members) < 15 * size else max(0, int(np.ceil(np.log2(size / SMALLEST_BLOCK))))
                 classes[min(WORDS, len(words)), level].append(len(self.ids))
                 self.ids.append(item)
                 self.sets.append(members)

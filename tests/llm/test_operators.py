@@ -323,6 +323,14 @@ def test_leaks_match_brute_force(spark):
     assert decontamination.contaminated(frame(spark, []), it).count() == 0 and decontamination.contaminated(frame(spark, docs), it.limit(0)).count() == 0
 
 
+def test_items_that_repeat_themselves():
+    """A sentence repeated 20 times is found in every document that holds it twice in a row."""
+    sentences = [prose(12, 9000 + i) for i in range(200)]
+    index = decontamination.ItemIndex(list(range(200)), [" ".join([s] * 20).encode() for s in sentences])
+    docs = [f"{prose(300, 5000 + i)} {s} {s} {prose(300, 7000 + i)}".encode() for i, s in enumerate(sentences)]
+    assert {(row, index.ids[item]) for row, item, _ in decontamination._scan(index, docs)} == {(i, i) for i in range(200)}
+
+
 def test_item_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "ITEM_ROWS", 3)
     items = spark.createDataFrame([(i, prose(20, i)) for i in range(10)], "item_id long, text string")
