@@ -1,11 +1,15 @@
-"""Connected components by alternating large-star and small-star."""
+"""Connected components by alternating large-star and small-star.
+
+Rows are pairs of longs, so a hub's task is small until a hub has tens of millions of
+neighbours; beyond, adaptive execution splits its partition in the join.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, broadcast_if_small
 
 
 def _to_minimum(edges: DataFrame) -> DataFrame:
@@ -47,3 +51,16 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataF
             break
         before = after
     return e
+
+
+def merged_components(stars: DataFrame, edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """stars, as connected_components returns them, after new edges (a, b): only edges between components are walked again."""
+    if edges.isEmpty():
+        return stars
+    ends = edges
+    for end, as_ in (("a", "u"), ("b", "v")):
+        now = stars.select(F.col("u").alias("_u"), F.col("v").alias("_v"))
+        ends = ends.join(now, F.col(end) == F.col("_u"), "left").withColumn(as_, F.coalesce("_v", end)).drop("_u", "_v")
+    found = connected_components(ends.select("u", "v"), scratch, name)
+    moved = found.select(F.col("u").alias("_u"), F.col("v").alias("_v"))
+    return scratch.keep(stars.join(broadcast_if_small(moved), F.col("v") == F.col("_u"), "left").select("u", F.coalesce("_v", "v").alias("v")).unionAll(found), f"{name}-stars")

@@ -66,7 +66,7 @@ def jaccard_classes(rows, k):
 
 
 def test_near_duplicates_match_brute_force(spark):
-    rows = [(i, t) for i, t in EDGES if i != 6]
+    rows = list(EDGES)
     base = prose(60, 1).split()
     for i in range(40):  # a chain: each text changes another word of the one before
         base = base.copy()
@@ -83,6 +83,38 @@ def test_near_duplicates_match_brute_force(spark):
     assert minhash_dedup.near_duplicates(frame(spark, []), 5).count() == 0
 
 
+def test_variants_of_one_text(spark, monkeypatch):
+    """Some hundred variants of one text, of similarities about the threshold: every link, and far fewer pairs than all."""
+    rng, rows, base = np.random.default_rng(8), [], prose(90, 21).split()
+    for i in range(300):
+        words = list(base)
+        for at in rng.choice(90, int(rng.integers(1, 14)), replace=False):
+            words[at] = f"v{i}x{at}" if rng.random() < 0.8 else WORDS[int(rng.integers(6))]
+        if i % 5 == 0:  # sizes differ too
+            words = words[: int(rng.integers(60, 90))]
+        rows.append((i, " ".join(words)))
+    pairs = []
+    agreeing = minhash_dedup._agreeing
+    monkeypatch.setattr(minhash_dedup, "_agreeing", lambda p, *a: (pairs.append(0 if a else p.count()), agreeing(p, *a))[1])
+    monkeypatch.setattr(minhash_dedup, "SPREAD", 50)
+    found = sorted(map(tuple, minhash_dedup.near_duplicates(frame(spark, rows), 2).collect()))
+    assert found == sorted(jaccard_classes(rows, 2))
+    assert sum(pairs) < 300 * 299 / 2 / 8
+
+
+def test_kept_documents(spark):
+    """Repeated ids, texts that differ under one id, and columns named like the operators' own."""
+    a, b = prose(50, 1), prose(50, 2)
+    rows = [(5, a, "z", 1), (5, a, "y", 2), (5, b, "x", 3), (9, a, "w", 4), (None, a, "v", 5), (None, None, "u", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone string, _hit int")
+    kept = minhash_dedup.keep_one(docs, 5)
+    assert kept.columns == docs.columns and len({(r.doc_id, r.text) for r in kept.collect()}) == kept.count() == 4
+    assert sorted(map(str, kept.collect())) == sorted(map(str, minhash_dedup.keep_one(docs.repartition(3), 5).collect()))
+    items = spark.createDataFrame([(1, b)], "item_id long, text string")
+    clean = decontamination.clean(docs, items)
+    assert clean.columns == docs.columns and sorted(str(r.doc_id) for r in clean.collect()) == ["9", "None", "None"]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(50, 51), (52, 51), (60, 60)]
     found = components.connected_components(spark.createDataFrame(edges, "u long, v long"), common.Scratch(spark, "t"), "c").collect()
