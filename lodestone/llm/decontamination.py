@@ -185,9 +185,11 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs that hold no item; columns as they were."""
+    """The rows of docs that hold no item; columns as they were, whatever their names. A doc_id with an item goes with all its rows."""
     hit = Scratch(docs.sparkSession, "leaks").keep(contaminated(docs, items).select(F.col("doc_id").alias("_hit")).distinct(), "hits")
-    return docs.join(broadcast_if_small(hit), F.col("doc_id").cast("long") == F.col("_hit"), "left_anti")
+    packed = docs.select(F.col("doc_id").cast("long").alias("_id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    left = packed.join(broadcast_if_small(hit), F.col("_id") == F.col("_hit"), "left_anti")
+    return left.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
