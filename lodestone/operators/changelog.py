@@ -19,8 +19,21 @@ def replay(base: DataFrame, log: DataFrame, key: str = "id_key", position: str =
     return kept.unionByName(last.where(F.col(op) == "put").select(*base.columns))
 
 
-def compact(base_path: str, log: DataFrame, out_path: str, key: str = "id_key") -> DataFrame:
-    """Writes the merged collection to a new place and returns it; the log may go once that is committed."""
-    spark = log.sparkSession
-    replay(spark.read.parquet(base_path), log, key).write.mode("overwrite").parquet(out_path)
-    return spark.read.parquet(out_path)
+def merged(base: DataFrame, log: DataFrame) -> DataFrame:
+    """A snapshot's rows with a log's changes: id_type, id, id_big, seq, embedding, context. Replaced rows keep their place, new ones follow."""
+    key = F.when(F.col("id_type") == 1, F.concat(F.lit("__bigint__:"), F.regexp_replace("id", "^bigint:", ""))).otherwise(F.col("id"))
+    old = base.select(key.alias("id_key"), "id_type", "id", "id_big", "seq", "embedding", F.to_json("context").alias("context"))
+    last = latest(log.select("id_key", "pos", "op", "id_type", "id", "embedding", "context"), "id_key", "pos")
+    first = log.where("op = 'put'").groupBy("id_key").agg(F.min("pos").alias("first"))
+    puts = last.where("op = 'put'").join(first, "id_key").join(old.select("id_key", F.col("seq").alias("was")), "id_key", "left")
+    after = base.agg(F.coalesce(F.max("seq") + 1, F.lit(0))).first()[0]
+    number = F.when(F.col("id_type") == 1, F.col("id").cast("decimal(38,0)"))
+    new = puts.select("id_type", "id", number.alias("id_big"), F.coalesce("was", F.col("first") + after).alias("seq"), "embedding", "context")
+    both = old.join(last.select("id_key"), "id_key", "left_anti").drop("id_key").unionByName(new)
+    return both.withColumn("context", F.parse_json("context"))
+
+
+def compact(base: DataFrame, log: DataFrame, out_path: str, key: str = "id_key") -> DataFrame:
+    """Writes the collection with its log merged to a new place and returns it; the log may go once that is committed."""
+    replay(base, log, key).write.mode("overwrite").parquet(out_path)
+    return base.sparkSession.read.parquet(out_path)

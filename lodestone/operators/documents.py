@@ -14,17 +14,24 @@ def _sort_keys(value: Column, ascending: bool, dialect: str, kind: str) -> list[
         field = VariantField(value)
         missing = value.isNull() | F.coalesce(F.is_variant_null(value), F.lit(False)) if dialect == "cli" else value.isNull()
         number, text = field.number(), F.coalesce(F.try_variant_get(value, "$", "string"), F.to_json(value))
+        # null and missing tie and keep their order
+        number, text = F.when(~missing, number), F.when(~missing, text)
     else:
         missing = value.isNull()
         number, text = (F.lit(None).cast("double"), value) if kind == "string" else (value, F.lit(None).cast("string"))
     text = F.collate(text, "UNICODE")
     if ascending:
         return [F.desc(missing) if dialect == "cli" else F.asc(missing), F.asc_nulls_last(number), F.asc(text)]
-    return [F.asc(missing), F.desc_nulls_first(number) if dialect == "viewer" else F.desc_nulls_first(number), F.desc(text)]
+    return [F.asc(missing), F.desc_nulls_first(number), F.desc(text)]
 
 
 def sort(df: DataFrame, keys: dict[str, int], dialect: str = "cli", context: str = "context", seq: str = "seq") -> DataFrame:
     """A stable sort by one or more paths, 1 up and -1 down; a viewer's 0 leaves the order."""
+    return df.orderBy(*sort_columns(df, keys, dialect, context), seq)
+
+
+def sort_columns(df: DataFrame, keys: dict[str, int], dialect: str = "cli", context: str = "context") -> list[Column]:
+    """What sort orders by, before the order of insertion."""
     order, kinds = [], {f.name: f.dataType.simpleString() for f in df.schema.fields}
     for path, way in keys.items():
         if dialect == "viewer" and way == 0:
@@ -34,7 +41,7 @@ def sort(df: DataFrame, keys: dict[str, int], dialect: str = "cli", context: str
             order += _sort_keys(variant_path(F.col(context), name), way > 0, dialect, "variant")
         elif name in kinds:
             order += _sort_keys(F.col(name), way > 0, dialect, kinds[name])
-    return df.orderBy(*order, seq)
+    return order
 
 
 def find(df: DataFrame, where: Column | None = None, keys: dict[str, int] | None = None, skip: int = 0, limit: int = 50, dialect: str = "cli", seq: str = "seq") -> DataFrame:
@@ -44,6 +51,13 @@ def find(df: DataFrame, where: Column | None = None, keys: dict[str, int] | None
     return rows.offset(skip).limit(limit) if skip else rows.limit(limit)
 
 
+def page(df: DataFrame, where: Column | None = None, keys: dict[str, int] | None = None, skip: int = 0, limit: int = 50, dialect: str = "cli", seq: str = "seq") -> tuple[DataFrame, str | None]:
+    """The rows of find, and "Showing a-b of n" where more rows match than the page reaches."""
+    total = count(df, where).first()[0]
+    note = f"Showing {skip + 1}-{min(total, skip + limit)} of {total}" if total > skip + limit else None
+    return find(df, where, keys, skip, limit, dialect, seq), note
+
+
 def count(df: DataFrame, where: Column | None = None) -> DataFrame:
     return (df if where is None else df.where(where)).agg(F.count("*").alias("count"))
 
@@ -67,13 +81,14 @@ def distinct(df: DataFrame, path: str, dialect: str = "viewer", context: str = "
 
 
 def field_paths(df: DataFrame, sample: int = 100, context: str = "context", seq: str = "seq") -> DataFrame:
-    """path: the dotted paths of the first contexts, as an editor offers them; sample is the feature's size."""
-    level = df.orderBy(seq).limit(sample).select(F.lit("").alias("path"), F.col(context).alias("v"))
-    out = None
-    for _ in range(8):  # nesting that an editor shows
-        level.createOrReplaceTempView("_lodestone_paths")
+    """path: the dotted paths of the first contexts, from `context.` on, as an editor offers them; sample is the feature's size."""
+    spark, name = df.sparkSession, "context"
+    first = [r.c for r in df.where(F.col(context).isNotNull()).orderBy(seq).limit(sample).select(F.to_json(context).alias("c")).collect()]
+    level = spark.createDataFrame([(c,) for c in first], "c string").select(F.lit(name).alias("path"), F.parse_json("c").alias("v"))
+    out = spark.createDataFrame([], "path string")
+    while True:
         inner = level.where(F.schema_of_variant("v").startswith("OBJECT"))
-        inner.createOrReplaceTempView("_lodestone_paths")
-        level = level.sparkSession.sql("SELECT if(path = '', key, path || '.' || key) AS path, value AS v FROM _lodestone_paths, LATERAL variant_explode(v)")
-        out = level.select("path") if out is None else out.unionAll(level.select("path"))
-    return out.distinct().orderBy("path")
+        level = inner.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select(F.concat_ws(".", "path", "key").alias("path"), F.col("value").alias("v"))
+        if level.isEmpty():
+            return out.distinct().orderBy("path")
+        out = out.unionAll(level.select("path"))

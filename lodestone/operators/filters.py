@@ -14,14 +14,13 @@ import re
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import Column
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..types import FilterError
 
-OPERATORS = ("$eq", "$ne", "$gt", "$gte", "$lt", "$lte", "$in", "$nin", "$regex", "$exists")
-
-
 class Field:
     """A resolved path: how to test its type and read it."""
 
@@ -131,6 +130,18 @@ def column_resolver(schema, dialect: str = "cli") -> Callable[[str], Field]:
     return resolve
 
 
+def pattern_error(pattern: str) -> str | None:
+    """What java.util.regex, which will run the pattern, has against it; Python's view where no session is active."""
+    spark = SparkSession.getActiveSession()
+    try:
+        spark._jvm.java.util.regex.Pattern.compile("(?i)" + pattern) if spark else re.compile(pattern)
+    except re.error as e:
+        return str(e)
+    except (IllegalArgumentException, Py4JJavaError) as e:
+        return str(e).splitlines()[0]
+    return None
+
+
 def _operator(field: Field, op: str, operand: Any, dialect: str) -> Column:
     false, true = F.lit(False), F.lit(True)
     if op == "$eq":
@@ -142,7 +153,10 @@ def _operator(field: Field, op: str, operand: Any, dialect: str) -> Column:
             return false
         n = field.number()
         holds = {"$gt": n > operand, "$gte": n >= operand, "$lt": n < operand, "$lte": n <= operand}[op]
-        return n.isNotNull() & holds if isinstance(field, PlainField) else F.coalesce(holds, false)
+        if isinstance(field, PlainField):
+            # NaN is above all numbers to Spark, and unordered here
+            return n.isNotNull() & holds & ~F.isnan(n) if field.kind in ("float", "double") and op in ("$gt", "$gte") else n.isNotNull() & holds
+        return F.coalesce(holds, false)
     if op in ("$in", "$nin"):
         if not isinstance(operand, list):
             return false
@@ -153,12 +167,10 @@ def _operator(field: Field, op: str, operand: Any, dialect: str) -> Column:
     if op == "$regex":
         if not isinstance(operand, str):
             return false
-        try:
-            re.compile(operand)
-        except re.error as e:
+        if (error := pattern_error(operand)) is not None:
             if dialect == "viewer":
                 return false
-            raise FilterError(f"bad pattern {operand!r}: {e}") from None
+            raise FilterError(f"bad pattern {operand!r}: {error}") from None
         return F.coalesce(field.string().rlike("(?i)" + operand), false)
     if op == "$exists":
         return field.exists() if operand else ~field.exists()

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: What a pattern's \\s means to the formats' writers: Unicode spaces and the byte order mark.
+SPACE = r"[\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+
 
 def chunk_text(text: Column, most: int = 500, least: int = 100) -> Column:
     """Paragraphs joined into chunks: a chunk is closed before it passes `most` characters once it has `least`."""
-    paragraphs = F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
+    paragraphs = F.filter(F.transform(F.split(text, rf"\n{SPACE}*\n"), lambda p: F.regexp_replace(p, rf"^{SPACE}+|{SPACE}+$", "")), lambda p: p != "")
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
     def step(s: Column, p: Column) -> Column:
@@ -28,6 +33,11 @@ def chunks(pages: DataFrame, file: str = "file", page: str = "page", text: str =
     return numbered.select("file", "page", F.col("chunk").cast("bigint").alias("chunk"), name.alias("id"), "text", F.substring("text", 1, 200).alias("preview"))
 
 
+def document_totals(chunked: DataFrame) -> DataFrame:
+    """file, pages and chunks of every document that has a chunk."""
+    return chunked.groupBy("file").agg(F.max("page").cast("bigint").alias("pages"), F.count("*").alias("chunks"))
+
+
 def rank_of_expected(queries: DataFrame, results: DataFrame) -> DataFrame:
     """query_id and rank (1 first, null where absent) of each query's expected_id in the results."""
     r = results.select(F.col("query_id").alias("_q"), F.col("id").alias("_id"), "rank")
@@ -47,15 +57,27 @@ def agreement(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     return both.agg(F.avg(F.size(F.array_intersect("a", "b")) / F.lit(float(k))).alias("agreement"))
 
 
+def _at_rank(counts: DataFrame, rank: int, parts: int = 200) -> DataFrame:
+    """value: the one at a rank from 0 among values with counts n, from range partitions and their sums."""
+    ranged = counts.repartitionByRange(parts, "value").withColumn("part", F.spark_partition_id())
+    upto = Window.orderBy("first").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = ranged.groupBy("part").agg(F.min("value").alias("first"), F.max("value").alias("last"), F.sum("n").alias("n"))  # a row a partition
+    place = sums.withColumn("upto", F.sum("n").over(upto)).where(F.col("upto") > rank).orderBy("first").limit(1).collect()
+    if not place or rank < 0:
+        return counts.select("value").limit(0).agg(F.min("value").alias("value"))
+    low, before = place[0].first, place[0].upto - place[0].n
+    inside = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # the values of one partition
+    rest = counts.where(F.col("value").between(F.lit(low), F.lit(place[0].last))).withColumn("upto", F.sum("n").over(inside) + before)
+    return rest.where(F.col("upto") > rank).agg(F.min("value").alias("value"))
+
+
 def percentile(df: DataFrame, column: str, p: float, rule: str = "floor") -> DataFrame:
     """floor: the value at floor(p n); nearest: at ceil(p n) - 1. From counts of values, so no list of them is built."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
     if rule == "nearest":
         return df.agg(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {column})").alias("value"))
-    order = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at = F.least(F.col("total") - 1, F.floor(F.lit(p) * F.col("total")))
-    return counts.withColumn("upto", F.sum("n").over(order)).crossJoin(F.broadcast(total)).where(F.col("upto") > at).agg(F.min("value").alias("value"))
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return _at_rank(counts, min(total - 1, int(p * total)))
 
 
 def summary(df: DataFrame, column: str) -> DataFrame:
@@ -95,9 +117,19 @@ def pending(registry: DataFrame, indexed: DataFrame, key: str = "file") -> DataF
 
 
 def fingerprint(df: DataFrame, ident: str = "id") -> DataFrame:
-    """SHA-256 over sorted ids, taken bucket by bucket of their hashes so that no task holds all."""
-    buckets = df.groupBy(F.substring(F.sha2(F.col(ident).cast("string"), 256), 1, 3).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.col(ident).cast("string"))), "\n"), 256).alias("h"))
-    return buckets.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "\n"), 256).alias("fingerprint"))
+    """SHA-256 of all ids in order of their text, joined by newlines: a range sort streamed through one hash, a partition at a time."""
+    digest, first = hashlib.sha256(), True
+    for row in df.select(F.col(ident).cast("string").alias("id")).where("id IS NOT NULL").orderBy("id").toLocalIterator():
+        digest.update(row.id.encode() if first else b"\n" + row.id.encode())
+        first = False
+    return df.sparkSession.createDataFrame([(digest.hexdigest(),)], "fingerprint string")
+
+
+def tree_fingerprint(df: DataFrame, ident: str = "id") -> DataFrame:
+    """A digest of the set of ids without a sort: SHA-256 of the counts and sums of their hashes."""
+    name = F.sha2(F.col(ident).cast("string"), 256)
+    part = lambda at: F.sum(F.conv(F.substring(name, at, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    return df.agg(F.sha2(F.concat_ws("\n", F.count(ident).cast("string"), *(part(at) for at in (1, 16, 31, 46))), 256).alias("fingerprint"))
 
 
 def shaped_hits(results: DataFrame) -> DataFrame:
@@ -109,3 +141,50 @@ def shaped_hits(results: DataFrame) -> DataFrame:
 def rounded_score(score: Column) -> Column:
     """Four decimals, halves up toward positive infinity."""
     return F.floor(score * 10000 + 0.5) / 10000
+
+
+#: What an answerer is told; sources are numbered from 1.
+INSTRUCTIONS = "Answer from the numbered sources alone, cite them as [n], and say so where they hold no answer."
+
+
+def prompt(question: str, hits: list) -> str:
+    """The user's prompt: the sources in rank order, then the question."""
+    sources = "\n\n".join(f"[{n}] {h.source}, page {h.page}\n{h.text}" for n, h in enumerate(hits, 1))
+    return f"Sources:\n{sources}\n\nQuestion: {question}"
+
+
+def ask(question: str, results: DataFrame, answer, k: int = 5) -> dict:
+    """answer(instructions, prompt) -> text, over the k best hits; the citations are those that the text names, if they exist."""
+    hits = shaped_hits(results).where(F.col("rank") <= k).orderBy("rank").collect()
+    text = answer(INSTRUCTIONS, prompt(question, hits)) if hits else "No sources were found."
+    named = results.sparkSession.range(1).select(citations(F.lit(text)).alias("c")).first().c
+    return {"answer": text, "citations": [{"index": n, "page": hits[n - 1].page, "source": hits[n - 1].source, "preview": hits[n - 1].text[:200]} for n in sorted(named) if 0 < n <= len(hits)]}
+
+
+def questions(chunked: DataFrame, generate, model: str, cache: str | None = None, prompt_version: int = 1, retries: int = 3, overlap: float = 0.5, starts: tuple[str, ...] = ()) -> DataFrame:
+    """query_id, expected_id, text (null where no try was valid) for every chunk.
+
+    generate(text, turn) is called on executors, retries + 1 times at most, until its question is valid. With a
+    cache folder the questions are kept under the corpus fingerprint, model and prompt version, and reused while these hold.
+    """
+    spark = chunked.sparkSession
+    where = f"{cache}/{model}-{prompt_version}-{fingerprint(chunked).first()[0]}" if cache else None
+    if where:
+        path = spark._jvm.org.apache.hadoop.fs.Path(where + "/_SUCCESS")
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            return spark.read.parquet(where)
+    tries = F.udf(lambda text: [generate(text, turn) for turn in range(retries + 1)], "array<string>")
+    made = chunked.select("id", "text", tries("text").alias("tries"))
+    first = F.get(F.filter("tries", lambda q: valid_question(q, F.col("text"), starts, overlap=overlap)), 0)
+    out = made.select(F.concat(F.lit("q-"), F.col("id")).alias("query_id"), F.col("id").alias("expected_id"), first.alias("text"))
+    if where:
+        out.write.mode("overwrite").parquet(where)
+        return spark.read.parquet(where)
+    return out
+
+
+def register(registry: DataFrame, chunked: DataFrame) -> DataFrame:
+    """The registry with the documents of new chunks: file, pages, chunks and when they were ingested, as an ISO timestamp."""
+    now = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    new = document_totals(chunked).withColumn("ingested_at", now)
+    return registry.join(new.select("file"), "file", "left_anti").unionByName(new)

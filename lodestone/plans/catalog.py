@@ -12,6 +12,10 @@ from ..functions.embedders import HashEmbedder
 from ..operators import changelog, documents, knn, retrieval
 from ..operators.collection import Collection, from_rows
 from ..operators.filters import column_resolver, compile_filter, variant_resolver
+from ..sources.crypto import KeySource
+from ..sources.drivers import FileDriver
+from ..sources.formats import is_folder, scratch_folder
+from ..streaming import changes
 from ..types import CollectionConfig
 from . import dsl
 
@@ -120,9 +124,13 @@ def retrieval_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.retrieval_quality(retrieval.rank_of_expected(queries, _joined(spark, sf_dir)), (1, 5))
 
 
-@query("topk_agreement")
+@query("topk_agreement", _JOIN.format(m="true", c="v") + f""", b AS (SELECT query_id, list(id) AS ids FROM t WHERE rank <= 5 GROUP BY query_id),
+    s2 AS (SELECT q.vec_id AS query_id, r.vec_id AS id, CASE WHEN sqrt(list_dot_product(q.c, q.c)) * sqrt(list_dot_product(r.c, r.c)) = 0 THEN 0 ELSE list_dot_product(q.c, r.c) / (sqrt(list_dot_product(q.c, q.c)) * sqrt(list_dot_product(r.c, r.c))) END AS score
+      FROM (SELECT vec_id, {_CODES} AS c FROM e WHERE vec_id % 20 = 0) q, (SELECT vec_id, {_CODES} AS c FROM e) r),
+    t2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s2), b2 AS (SELECT query_id, list(id) AS ids FROM t2 WHERE rank <= 5 GROUP BY query_id)
+    SELECT round(avg(len(list_intersect(b.ids, b2.ids)) / 5.0), 6)::DOUBLE AS agreement FROM b JOIN b2 USING (query_id)""")
 def topk_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.agreement(_joined(spark, sf_dir), _joined(spark, sf_dir, "INT8"), 5)
+    return retrieval.agreement(_joined(spark, sf_dir), _joined(spark, sf_dir, "INT8"), 5).withColumn("agreement", F.round("agreement", 6))
 
 
 # codecs
@@ -150,10 +158,13 @@ def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("vec_id", F.round(V.norm(F.col("v")), 6).alias("before"), F.round(V.norm(V.l2_normalize(F.col("v"))), 6).alias("after"))
 
 
-@query("validate_vectors", "SELECT count(*) FILTER (WHERE len(embedding) = 64) AS good, count(*) FILTER (WHERE len(embedding) <> 64) AS bad FROM embeddings")
+@query("validate_vectors", "SELECT count(*) FILTER (WHERE vec_id % 5 NOT IN (1, 2, 3)) AS good, count(*) FILTER (WHERE vec_id % 5 IN (1, 2, 3)) AS bad FROM embeddings")
 def validate_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of five vectors in turn one is cut short, one has a NaN and one is missing."""
+    v, turn = F.col("embedding").cast("array<double>"), F.col("vec_id") % 5
+    spoilt = F.when(turn == 1, F.slice(v, 1, DIMENSIONS - 1)).when(turn == 2, F.transform(v, lambda x, i: F.when(i == 7, F.lit(float("nan"))).otherwise(x))).when(turn != 3, v)
     ok = V.valid(F.col("embedding"), DIMENSIONS)
-    return table(spark, sf_dir, "embeddings").agg(F.count_if(ok).alias("good"), F.count_if(~ok).alias("bad"))
+    return table(spark, sf_dir, "embeddings").withColumn("embedding", spoilt).agg(F.count_if(ok).alias("good"), F.count_if(~ok).alias("bad"))
 
 
 # document filters, over contexts {event_type, value, user, props: {k}, odd?} made of events
@@ -250,7 +261,7 @@ def collection_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedded(spark, sf_dir).stats()
 
 
-@query("field_paths", "SELECT unnest(['event_type', 'odd', 'props', 'props.k', 'user', 'value']) AS path")
+@query("field_paths", "SELECT 'context.' || unnest(['event_type', 'odd', 'props', 'props.k', 'user', 'value']) AS path")
 def field_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.field_paths(events(spark, sf_dir))
 
@@ -266,6 +277,17 @@ def dsl_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dsl.run(embedded(spark, sf_dir), 'db.count({$or: [{context.label: 2}, {id: {$in: ["bigint:7"]}}]})')
 
 
+@query("find_sort_mixed", """WITH m AS (SELECT event_id, event_id % 6 AS t, value FROM events), k AS (SELECT event_id, t < 2 AS missing, CASE WHEN t = 2 THEN value WHEN t = 3 THEN -value END AS n, CASE WHEN t = 4 THEN 'b' WHEN t = 5 THEN 'a' END AS s FROM m)
+    SELECT event_id, row_number() OVER (ORDER BY missing, n DESC NULLS FIRST, s DESC NULLS LAST, event_id) AS place FROM k""")
+def find_sort_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing, null, numbers and texts in one path, downwards: texts, numbers, then null and missing in their order."""
+    t = F.col("event_id") % 6
+    x = F.when(t == 0, F.lit("{}")).when(t == 1, F.lit('{"x":null}')).when(t == 2, F.to_json(F.struct(F.col("value").alias("x")))).when(t == 3, F.to_json(F.struct((-F.col("value")).alias("x")))).when(t == 4, F.lit('{"x":"b"}')).otherwise(F.lit('{"x":"a"}'))
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("event_id").alias("seq"), F.parse_json(x).alias("context"))
+    keys = documents.sort_columns(rows, {"x": -1})
+    return rows.select("event_id", F.row_number().over(Window.orderBy(*keys, "seq")).cast("bigint").alias("place"))
+
+
 # keyed changes
 
 
@@ -275,11 +297,12 @@ def get_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("upsert_lww", """WITH l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events)
-    SELECT user_id, event_id, value FROM l WHERE r = 1 AND event_type <> 'error'""")
+    SELECT user_id, event_id, value FROM l WHERE r = 1 AND event_type <> 'error'
+    UNION ALL SELECT c_custkey, -1, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)""")
 def upsert_lww(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A log keyed by user: errors delete, other events put; the last one of a user counts."""
+    """A log keyed by user over a base of customers: errors delete, other events put; the last one of a user counts."""
     log = table(spark, sf_dir, "events").select("user_id", "event_id", "value", F.when(F.col("event_type") == "error", F.lit("delete")).otherwise(F.lit("put")).alias("op"), F.col("event_id").alias("pos"))
-    base = spark.createDataFrame([], "user_id bigint, event_id bigint, value double")
+    base = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.lit(-1).cast("bigint").alias("event_id"), F.col("c_acctbal").alias("value"))
     return changelog.replay(base, log, "user_id")
 
 
@@ -305,11 +328,48 @@ def delete_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedded(spark, sf_dir).found(spark.createDataFrame([(1, "1"), (1, "5"), (1, "99999999")], "id_type int, id string"))
 
 
-@query("registry_pending", "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)")
+@query("delete_document", "SELECT conv_id || ':' || turn AS id FROM conversations WHERE conv_id <> 3")
+def delete_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drops all chunks of one document; turns of a conversation stand for chunks."""
+    rows = table(spark, sf_dir, "conversations").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.array(F.lit(1.0)).alias("embedding"))
+    return Collection(from_rows(rows, "id"), CollectionConfig(1)).delete_document("3").df.select("id")
+
+
+@query("collection_merge_on_read", """SELECT vec_id::VARCHAR AS id, vec_id AS seq, CASE WHEN vec_id % 10 = 0 THEN 99 ELSE label END AS label, CASE WHEN vec_id % 10 = 0 THEN 1.0 ELSE round(embedding[1]::DOUBLE, 6) END::DOUBLE AS first FROM embeddings WHERE vec_id % 7 <> 3
+    UNION ALL SELECT 'new-' || vec_id, (SELECT max(vec_id) + 1 FROM embeddings) + vec_id, 7, 1.0 FROM embeddings WHERE vec_id % 100 = 0""")
+def collection_merge_on_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A snapshot file with a change log beside it, read back as one collection: puts, new rows, and deletes that come last."""
+    c, folder = embedded(spark, sf_dir), scratch_folder(spark, "merge")
+    driver = FileDriver(spark, folder, log=True)
+    driver.write("c", c)
+    rows = c.df.select("id", F.col("id_big").cast("bigint").alias("n")).orderBy("n").toLocalIterator()
+    ops, put = [], {"op": "put", "data": [1.0] * DIMENSIONS}
+    for r in rows:
+        ops += [put | {"id_type": 1, "id": r.id, "context": '{"label":99}'}] if r.n % 10 == 0 else []
+        ops += [{"op": "delete", "id_type": 1, "id": r.id}] if r.n % 7 == 3 else []
+    driver.append("c", ops)
+    found = driver.read("c").df
+    more = table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.concat(F.lit("new-"), F.col("vec_id").cast("string")).alias("id"), F.col("vec_id").alias("at"), F.array_repeat(F.lit(1.0), DIMENSIONS).alias("embedding"), F.struct(F.lit(7).alias("label")).alias("context"))
+    merged = Collection(found, c.config).add_many(from_rows(more, "id", context="context", seq="at"))
+    return merged.df.select("id", "seq", F.variant_get("context", "$.label", "int").alias("label"), F.round(F.get("embedding", 0), 6).alias("first"))
+
+
+@query("snapshot_round_trip", f"""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), c AS (SELECT vec_id, label, v, {_CODES} AS c FROM e)
+    SELECT vec_id::VARCHAR AS id, vec_id AS seq, label, round(list_sum(list_transform(c, lambda x: (x + 128) / 255.0 * (list_max(v) - list_min(v)) + list_min(v))), 6)::DOUBLE AS total FROM c""")
+def snapshot_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An INT8 collection written as an encrypted snapshot file and read back."""
+    c = Collection(embedded(spark, sf_dir).df, CollectionConfig(DIMENSIONS, "INT8"))
+    driver = FileDriver(spark, scratch_folder(spark, "snapshot"), KeySource(key=b"a key of this query, 32 bytes...."[:32]))
+    driver.write("c", c)
+    back = driver.read("c", c.config).df
+    return back.select("id", "seq", F.variant_get("context", "$.label", "int").alias("label"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+@query("registry_pending", "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)")
 def registry_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of a registry of which no chunk is indexed: here nations without a supplier."""
+    """Documents of a registry of which no chunk is indexed: here nations without a supplier of means."""
     nations = table(spark, sf_dir, "nation").withColumn("file", F.col("n_nationkey").cast("string"))
-    indexed = table(spark, sf_dir, "supplier").select(F.concat_ws(":", F.col("s_nationkey").cast("string"), F.lit("p1"), F.col("s_suppkey").cast("string")).alias("id"))
+    indexed = table(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(F.concat_ws(":", F.col("s_nationkey").cast("string"), F.lit("p1"), F.col("s_suppkey").cast("string")).alias("id"))
     return retrieval.pending(nations, indexed).select("n_nationkey")
 
 
@@ -324,7 +384,11 @@ def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.query_by_text("the entire of the", HashEmbedder(), 10, compile_filter({"lang": "en"}, variant_resolver())).select("id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("chunk_documents")
+@query("chunk_documents", r"""WITH RECURSIVE p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ps FROM documents WHERE text IS NOT NULL),
+    s AS (SELECT doc_id, ps, 0::BIGINT AS i, 0::BIGINT AS chunk, 0::BIGINT AS size, false AS closed, 0::BIGINT AS done FROM p
+      UNION ALL SELECT doc_id, ps, i + 1, CASE WHEN full_ THEN chunk + 1 ELSE chunk END, CASE WHEN full_ OR size = 0 THEN n ELSE size + 2 + n END, full_, size FROM
+        (SELECT *, len(ps[i + 1]) AS n, size + len(ps[i + 1]) > 500 AND size >= 100 AS full_ FROM s WHERE i < len(ps)))
+    SELECT doc_id AS file, chunk, doc_id || ':p1:c' || chunk AS id, max(size)::BIGINT AS size FROM s WHERE i > 0 GROUP BY doc_id, chunk""")
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines stand for paragraphs; a document is one page."""
     pages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.lit(1).alias("page"), F.regexp_replace("text", "\n", "\n\n").alias("text"))
@@ -381,15 +445,32 @@ def score_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", retrieval.rounded_score((F.col("value") - 50) / 1000).alias("score"))
 
 
-@query("corpus_fingerprint")
+@query("corpus_fingerprint", "SELECT sha256(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id::VARCHAR)) AS fingerprint FROM documents")
 def corpus_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.fingerprint(table(spark, sf_dir, "documents"), "doc_id")
 
 
-@query("running_counts", "SELECT event_type, count(*) AS n, round(sum(value), 4)::DOUBLE AS total FROM events GROUP BY event_type")
-def event_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The batch form of the streaming totals."""
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+@query("running_counts", "SELECT event_type, time_bucket(INTERVAL '1 day', ts) AS start, count(*) AS n, round(sum(value), 4)::DOUBLE AS total FROM events GROUP BY ALL")
+def running_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream of events through watermarked daily windows, run until it has read all, as its sink holds it."""
+    out = scratch_folder(spark, "windows")
+    path = f"{sf_dir}/events.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 2).parquet(path if is_folder(spark, path) else f"{sf_dir}/events.parque[t]")
+    epoch = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+    stream = stream.withColumn("ts", F.timestamp_micros(F.expr(f"timestampdiff(MICROSECOND, {epoch}, ts)")))  # the clock time as UTC
+    changes.windows_to_table(changes.running_counts(stream, "ts", "1 day", "3650 days", "event_type"), out + "/table", out + "/checkpoint").awaitTermination()
+    return changes.window_totals(spark, out + "/table", "event_type").select("event_type", F.expr(f"timestampadd(MICROSECOND, unix_micros(window.start), {epoch})").alias("start"), "n", F.round("total", 4).alias("total"))
+
+
+@query("streamed_changes", """WITH l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events)
+    SELECT user_id, event_id, value FROM l WHERE r = 1 AND event_type <> 'error'""")
+def streamed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change log of upsert_lww as a stream, merged into a stored collection batch by batch."""
+    out, path = scratch_folder(spark, "changes"), f"{sf_dir}/events.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path if is_folder(spark, path) else f"{sf_dir}/events.parque[t]")
+    log = stream.select("user_id", "event_id", "value", F.when(F.col("event_type") == "error", F.lit("delete")).otherwise(F.lit("put")).alias("op"), F.col("event_id").alias("pos"))
+    changes.apply_changes(log, out + "/collection", out + "/checkpoint", "user_id").awaitTermination()
+    return changes.current(spark, out + "/collection").select("user_id", "event_id", "value")
 
 
 @query("insertion_order", "SELECT vec_id::VARCHAR AS id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS place FROM embeddings")

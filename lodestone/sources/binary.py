@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..types import METRICS, QUANTIZATIONS, CollectionConfig, DimensionMismatch, FormatError
+from . import crypto
 
 SNAPSHOT, LOG = b"VCR\x01", b"WVCR"
 _HEAD, _LOG_HEAD = struct.Struct("<4sBIBBIB"), struct.Struct("<4sBIBH")
@@ -173,47 +174,106 @@ def brotli(data: bytes) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    """path, seq, id_type, id, id_big, embedding (decoded), context of every entry of the files at a path."""
+def _files(spark: SparkSession, path: str, key: crypto.KeySource | None) -> DataFrame:
+    """path and content of the files at a path, decrypted in the JVM where they are encrypted; a file that no key opens is an error."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    if key is None:
+        return files
+    plain = F.when(F.length("content") == 0, F.col("content")).otherwise(crypto.opened(F.col("content"), key))
+    return files.select("path", F.coalesce(plain, F.raise_error(F.concat(F.lit("no key opens "), "path"))).alias("content"))
+
+
+def read_snapshots(spark: SparkSession, path: str, config: CollectionConfig | None = None, key: crypto.KeySource | None = None, viewer: bool = False) -> DataFrame:
+    """path, seq, id_type, id, id_big, embedding (decoded), context of every entry of the files at a path.
+
+    With a config, files of other dimensions or codes are an error. viewer decodes bits as 1 and 0 and writes integer ids as bigint:n.
+    """
+    zero, mark = (0.0, "bigint:") if viewer else (-1.0, "")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for name, data in zip(frame.path, frame.content, strict=True):
                 h = snapshot_header(plain := _plain(bytes(data)))
+                if config is not None:
+                    check_header(h, config)
                 batch = []
                 for row in decode_snapshot(plain):
-                    batch.append((name, row["seq"], row["id_type"], row["id"], _decoded(row, h["quantization"], h["dimensions"]), row["context"]))
+                    batch.append((name, row["seq"], row["id_type"], row["id"], _decoded(row, h["quantization"], h["dimensions"], zero), row["context"]))
                     if len(batch) == 2000:
                         yield pd.DataFrame(batch, columns=["path", "seq", "id_type", "id", "embedding", "context"])
                         batch = []
                 yield pd.DataFrame(batch, columns=["path", "seq", "id_type", "id", "embedding", "context"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    rows = files.mapInPandas(run, "path string, seq bigint, id_type tinyint, id string, embedding array<double>, context string")
-    return rows.select("path", "seq", "id_type", "id", F.when(F.col("id_type") == 1, F.col("id").cast("decimal(38,0)")).alias("id_big"), "embedding", F.parse_json("context").alias("context"))
+    rows = _files(spark, path, key).mapInPandas(run, "path string, seq bigint, id_type tinyint, id string, embedding array<double>, context string")
+    shown = F.when(F.col("id_type") == 1, F.concat(F.lit(mark), F.col("id"))).otherwise(F.col("id")).alias("id")
+    return rows.select("path", "seq", "id_type", shown, F.when(F.col("id_type") == 1, F.col("id").cast("decimal(38,0)")).alias("id_big"), "embedding", F.parse_json("context").alias("context"))
 
 
-def _decoded(row: dict, quantization: str, dimensions: int) -> list[float]:
+def _decoded(row: dict, quantization: str, dimensions: int, zero: float = -1.0) -> list[float]:
     if quantization == "F32":
         return row["data"]
     if quantization == "INT8":
         low, span = row["min"], row["max"] - row["min"]
         return [low if span == 0 else (c + 128) / 255 * span + low for c in row["data"]]
-    return np.where(np.unpackbits(np.array(row["data"], np.uint8))[:dimensions], 1.0, -1.0).tolist()
+    return np.where(np.unpackbits(np.array(row["data"], np.uint8))[:dimensions], 1.0, zero).tolist()
 
 
-def read_logs(spark: SparkSession, path: str, config: CollectionConfig) -> DataFrame:
-    """path, pos, sequence, op, id_key, id_type, id, embedding, context of the valid prefixes of log files."""
+def unframed(data: bytes) -> tuple[list[bytes], bool]:
+    """The sealed records of an encrypted log, each after its length, and whether the last is cut."""
+    out, at = [], 0
+    while at + 4 <= len(data):
+        size = int.from_bytes(data[at : at + 4], "little")
+        if at + 4 + size > len(data):
+            return out, True
+        out.append(data[at + 4 : at + 4 + size])
+        at += 4 + size
+    return out, at < len(data)
+
+
+def framed(records: Iterable[bytes]) -> bytes:
+    return b"".join(struct.pack("<I", len(r)) + r for r in records)
+
+
+def _log_rows(name: str, data: bytes, cut: bool, config: CollectionConfig) -> pd.DataFrame:
+    """The changes of one file; where something after them is cut or damaged, a last row without a change says so."""
+    rows, damaged = decode_log(data, config)
+    out = [(name, r["pos"], r["sequence"], r["op"], f"__bigint__:{r['id']}" if r["id_type"] else r["id"], r["id_type"], r["id"], None if r["data"] is None else _decoded(r, config.quantization, config.dimensions), r["context"], False) for r in rows]
+    if damaged or cut:
+        out.append((name, len(rows), None, None, None, None, None, None, None, True))
+    return pd.DataFrame(out, columns=_LOG_COLUMNS)
+
+
+_LOG_COLUMNS = ["path", "pos", "sequence", "op", "id_key", "id_type", "id", "embedding", "context", "truncated"]
+LOG_ROW = "path string, pos bigint, sequence bigint, op string, id_key string, id_type tinyint, id string, embedding array<double>, context string, truncated boolean"
+
+
+def log_files(spark: SparkSession, path: str, config: CollectionConfig, dek: bytes | None = None) -> DataFrame:
+    """LOG_ROW of the log files at a path, whose records are sealed where a data key is given."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["path", "pos", "sequence", "op", "id_key", "id_type", "id", "embedding", "context"]
         for frame in frames:
-            for name, data in zip(frame.path, frame.content, strict=True):
-                rows, _ = decode_log(_plain(bytes(data)) if data else b"", config)
-                yield pd.DataFrame(
-                    [(name, r["pos"], r["sequence"], r["op"], f"__bigint__:{r['id']}" if r["id_type"] else r["id"], r["id_type"], r["id"], None if r["data"] is None else _decoded(r, config.quantization, config.dimensions), r["context"]) for r in rows],
-                    columns=names,
-                )
+            for name, data, cut in zip(frame.path, frame.content, frame.cut, strict=True):
+                yield _log_rows(name, _plain(bytes(data)) if data else b"", bool(cut), config)
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "path string, pos bigint, sequence bigint, op string, id_key string, id_type tinyint, id string, embedding array<double>, context string")
+    if dek is None:
+        return files.withColumn("cut", F.lit(False)).mapInPandas(run, LOG_ROW)
+
+    def records(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, data in zip(frame.path, frame.content, strict=True):
+                found, cut = unframed(bytes(data))
+                yield pd.DataFrame({"path": name, "n": list(range(len(found) + 1)), "blob": [*found, None], "cut": cut})
+
+    # the marker row keeps a file without records; a record that the key doesn't open ends the valid prefix
+    sealed = files.mapInPandas(records, "path string, n int, blob binary, cut boolean")
+    plain = crypto.opened(F.col("blob"), crypto.KeySource(key=dek))
+    parts = sealed.withColumn("plain", plain).groupBy("path").agg(F.max("cut").alias("cut"), F.min(F.when(F.col("blob").isNotNull() & F.col("plain").isNull(), F.col("n"))).alias("bad"), F.array_sort(F.collect_list(F.when(F.col("plain").isNotNull(), F.struct("n", "plain")))).alias("parts"))
+    good = F.filter("parts", lambda x: F.col("bad").isNull() | (x["n"] < F.col("bad")))
+    whole = F.aggregate(good, F.lit(b""), lambda s, x: F.concat(s, x["plain"]))
+    return parts.select("path", whole.alias("content"), (F.col("cut") | F.col("bad").isNotNull()).alias("cut")).mapInPandas(run, LOG_ROW)
+
+
+def read_logs(spark: SparkSession, path: str, config: CollectionConfig, dek: bytes | None = None) -> DataFrame:
+    """path, pos, sequence, op, id_key, id_type, id, embedding, context of the valid prefixes of log files."""
+    return log_files(spark, path, config, dek).where("NOT truncated").drop("truncated")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..operators import changelog
 from ..types import CollectionConfig, FormatError
 from . import binary, crypto
 
@@ -14,6 +19,13 @@ def read_entries(spark: SparkSession, path: str, kind: str = "jsonl") -> DataFra
     """id, text, embedding, context (VARIANT) of a file of entries; a malformed line is an error."""
     schema = "id string, text string, embedding array<double>, context variant"
     reader = spark.read.schema(schema).option("mode", "FAILFAST")
+    if kind == "jsonl":
+        # line numbers count the lines with something on them; a file is read in order by one task only where a line is bad
+        lines = spark.read.text(path).where(F.trim("value") != "")
+        if not lines.where(F.try_parse_json("value").isNull()).isEmpty():
+            numbered = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("n", "value"))
+            first = numbered.where(F.try_parse_json("value").isNull()).agg(F.min("n")).first()[0]
+            raise FormatError(f"Invalid JSON on line {first + 1}")
     rows = reader.option("multiLine", kind == "json").json(path)
     bad = rows.where(F.col("text").isNull() & F.col("embedding").isNull()).limit(1).collect()
     if bad:
@@ -31,7 +43,20 @@ def parse_vector(text) -> F.Column:
 
 def flat(df: DataFrame, keys: list[str], context: str = "context") -> DataFrame:
     """One text column `context.k` for each key, in place of the context."""
-    return df.select("*", *(F.try_variant_get(context, f"$.{k}", "string").alias(f"context.{k}") for k in keys)).drop(context)
+    return df.select("*", *(F.try_variant_get(context, "$" + "".join("[" + json.dumps(x, ensure_ascii=False) + "]" for x in k.split(".")), "string").alias(f"context.{k}") for k in keys)).drop(context)
+
+
+def context_keys(df: DataFrame, context: str = "context") -> list[str]:
+    """The dotted paths of all contexts' leaves, sorted: the columns of a table. Objects are opened, arrays are leaves."""
+    spark, out = df.sparkSession, set()
+    level = df.where(F.col(context).isNotNull()).select(F.lit("").alias("path"), F.col(context).alias("v"))
+    while True:
+        inner = level.where(F.schema_of_variant("v").startswith("OBJECT"))
+        level = inner.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select(F.concat_ws(".", F.nullif("path", F.lit("")), "key").alias("path"), F.col("value").alias("v"))
+        found = level.groupBy("path").agg(F.bool_or(~F.schema_of_variant("v").startswith("OBJECT")).alias("leaf"), F.bool_or(F.schema_of_variant("v").startswith("OBJECT")).alias("open")).collect()
+        out |= {r.path for r in found if r.leaf}
+        if not any(r.open for r in found):
+            return sorted(out)
 
 
 def export(df: DataFrame, path: str, kind: str = "jsonl", embedding: bool = False) -> None:
@@ -40,6 +65,8 @@ def export(df: DataFrame, path: str, kind: str = "jsonl", embedding: bool = Fals
     if kind in ("json", "jsonl"):
         rows.write.mode("overwrite").json(path)
     elif kind == "csv":
+        if dict(rows.dtypes).get("context") == "variant":
+            rows = flat(rows, context_keys(rows))
         text = [F.to_json(c).alias(c) if t.startswith(("array", "struct", "map", "variant")) else F.col(f"`{c}`") for c, t in rows.dtypes]
         rows.select(*text).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     else:
@@ -63,17 +90,43 @@ def snapshot_bytes(df: DataFrame, config: CollectionConfig) -> bytes:
 
 
 def write_bytes(spark: SparkSession, data: bytes, path: str) -> None:
-    """Through Hadoop's file systems: a temporary name, then a rename."""
+    """Through Hadoop's file systems: a temporary name, then a rename over the target, so a reader sees the old file or the new."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     target = jvm.org.apache.hadoop.fs.Path(path)
-    fs, temp = target.getFileSystem(conf), jvm.org.apache.hadoop.fs.Path(path + ".tmp")
-    out = fs.create(temp, True)
+    temp = jvm.org.apache.hadoop.fs.Path(path + ".tmp")
+    out = target.getFileSystem(conf).create(temp, True)
     try:
         out.write(bytearray(data))
     finally:
         out.close()
-    fs.delete(target, False)
-    fs.rename(temp, target)
+    replace(spark, path + ".tmp", path)
+
+
+def replace(spark: SparkSession, temp: str, target: str) -> None:
+    """Renames a file over another in one step, by the file context that every Hadoop store has."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    option = spark._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+    options = spark.sparkContext._gateway.new_array(jvm.Options.Rename, 1)
+    options[0] = next(x for x in option.getEnumConstants() if x.name() == "OVERWRITE")
+    source = jvm.Path(temp)
+    source = source.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(source)
+    jvm.FileContext.getFileContext(source.toUri(), spark._jsc.hadoopConfiguration()).rename(source, jvm.Path(target), options)
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that driver and executors share, or in a local one where the master is local."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise FormatError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="lodestone-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory())
 
 
 def read_bytes(spark: SparkSession, path: str) -> bytes | None:
@@ -81,11 +134,16 @@ def read_bytes(spark: SparkSession, path: str) -> bytes | None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
         return None
-    return bytes(spark.read.format("binaryFile").load(path).first().content)
+    row = spark.read.format("binaryFile").load(path).first()
+    return bytes(row.content) if row else b""  # an empty file has no row
 
 
 def migrate(spark: SparkSession, source: str, target: str, old: crypto.KeySource | None = None, new: crypto.KeySource | None = None, force: bool = False) -> str:
-    """Copies a snapshot under another key or none; an envelope that stays one is only rewrapped. Verified by reading it back."""
+    """Copies a snapshot under another key or none, verified by reading it back.
+
+    A log beside the source is merged into the copy; a damaged log is an error unless forced, as its tail would be lost. A
+    source that is locked is being written and can't be copied. An envelope without a log that stays one is only rewrapped.
+    """
     blob = read_bytes(spark, source)
     if blob is None:
         raise FormatError(f"{source} doesn't exist")
@@ -93,13 +151,28 @@ def migrate(spark: SparkSession, source: str, target: str, old: crypto.KeySource
         raise FormatError("source and target are the same file")
     if not force and read_bytes(spark, target) is not None:
         raise FormatError(f"{target} exists")
-    if old and new and blob[:1] == b"\x02":
+    if read_bytes(spark, source + ".lock") is not None:
+        raise FormatError(f"{source} is locked")
+    if old is None and crypto.is_encrypted(blob) and blob[:4] != binary.SNAPSHOT:
+        raise FormatError(f"{source} is encrypted, and no key was given")
+    plain = crypto.decrypt(spark, blob, old) if old else blob
+    how = "rewritten"
+    if read_bytes(spark, source + ".log"):
+        header = binary.snapshot_header(binary._plain(plain))
+        config = CollectionConfig(header["dimensions"], header["quantization"], header["metric"], header["embedder_id"])
+        dek = crypto.data_key(spark, blob, old) if old and blob[:1] == b"\x02" else None
+        log = binary.log_files(spark, source + ".log", config, dek)
+        if not force and not log.where("truncated").isEmpty():
+            raise FormatError(f"{source}.log is damaged; its valid part is taken when forced")
+        merged = changelog.merged(binary.read_snapshots(spark, source, config, old), log.where("NOT truncated"))
+        plain, how = binary.brotli(snapshot_bytes(merged, config)), "merged"
+        out = crypto.encrypt(spark, plain, new) if new else plain
+    elif old and new and blob[:1] == b"\x02":
         out, how = crypto.rekey(spark, blob, old, new), "rekeyed"
     else:
-        plain = crypto.decrypt(spark, blob, old) if old else blob
-        out, how = (crypto.encrypt(spark, plain, new) if new else plain), "rewritten"
+        out = crypto.encrypt(spark, plain, new) if new else plain
     write_bytes(spark, out, target)
     again = read_bytes(spark, target)
-    if (crypto.decrypt(spark, again, new) if new else again) != (crypto.decrypt(spark, blob, old) if old else blob):
+    if (crypto.decrypt(spark, again, new) if new else again) != plain:
         raise FormatError("the copy doesn't hold the same data")
     return how
