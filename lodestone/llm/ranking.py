@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small
 
 #: Rows a bucket holds on average at most; a group of more rows is split into that many buckets by hash.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 4096
 
 
 def rank_in_group(df: DataFrame, group: str, order: Column, ties: list[Column], bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, DataFrame]:

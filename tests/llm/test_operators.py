@@ -245,6 +245,52 @@ def test_mixture_keeps_target_weights(spark, temperature):
         assert np.abs((exact.source == s).cumsum().values - n**temperature / total * np.arange(1, len(exact) + 1)).max() < 1
 
 
+def edf(weights, blocks):
+    """The slots of all blocks by definition: of the released, the earliest deadline, ties to the first source; a source that wins without a block ends the exact part."""
+    total, had, slot, out, end = sum(weights), [0] * len(weights), 0, {}, None
+    while any(h < b for h, b in zip(had, blocks, strict=True)):
+        ready = []
+        for i, (w, h) in enumerate(zip(weights, had, strict=True)):
+            if (h < blocks[i] or end is None) and h * total // w <= slot:
+                ready.append((-(-(h + 1) * total // w), i))
+        if not ready:
+            slot += 1
+            continue
+        i = min(ready)[1]
+        if had[i] < blocks[i]:
+            out[i, had[i]], had[i], slot = slot, had[i] + 1, slot + 1
+        else:
+            end = slot
+    return out, end
+
+
+def test_schedule_matches_brute_force(spark):
+    """Target weights that differ widely, and sources that end early."""
+    sizes, targets = {"a": 90, "b": 40, "c": 25, None: 12}, {"a": 0.5, "b": 0.3, None: 0.05}
+    rows = [(at * 10 + i, "t", "en", s) for i, s in enumerate(sizes) for at in range(sizes[s])]
+    found = pfair_mixing.mix(frame(spark, rows), 1.0, 1, 50, targets).toPandas().rename(columns={"_block": "block", "_slot": "slot"})
+    order = sorted(sizes, key=lambda s: (s is not None, s))
+    w = [max(1, round({**targets, "c": 0.15}[s] * (1 << 36))) for s in order]
+    want, end = edf(w, [sizes[s] for s in order])
+    assert {(order.index(r.source if isinstance(r.source, str) else None), r.block): r.slot for r in found.itertuples()} == want
+    assert (found._exact == (found.slot < end)).all() and end > 60
+    exact = found[found._exact].sort_values("slot")
+    for i, s in enumerate(order):
+        seen = (exact.source.isna() if s is None else exact.source == s).cumsum().values
+        assert np.abs(seen - w[i] / sum(w) * np.arange(1, len(exact) + 1)).max() < 1
+
+
+def test_many_sources(spark):
+    """More sources than are scheduled one by one: small ones share a lane, blocks grow, and every row has its own place."""
+    rows = [(i, "t", "en", f"s{i % 50}") for i in range(200)] + [(1000 + i, "t", "en", "hot") for i in range(300)]
+    found = pfair_mixing.mix(frame(spark, rows), 1.0, 1, 50, work=500, most_sources=10).toPandas()
+    assert len(found) == len(rows) and found._position.is_unique and found.groupby(["source", "_block"]).size().max() <= 10
+    exact = found[found._exact].sort_values("_position")
+    assert np.abs((exact.source == "hot").cumsum().values - 0.6 * np.arange(1, len(exact) + 1)).max() < 2 * 10
+    with pytest.raises(ValueError):
+        pfair_mixing.mix(frame(spark, rows), targets={"hot": -1.0})
+
+
 # 7
 
 
