@@ -336,6 +336,61 @@ def test_shards(spark, monkeypatch):
     assert hilbert_sharding.shard(frame(spark, [])).count() == 0
 
 
+def hilbert_of(point, bits=4):
+    """The curve's index of a cell by walking it: the order-n curve is eight turned copies of the order n - 1 curve."""
+    x = list(point)
+    for q in (1 << b for b in range(bits - 1, 0, -1)):
+        for i in range(3):
+            if x[i] & q:
+                x[0] ^= q - 1
+            else:
+                t = (x[0] ^ x[i]) & (q - 1)
+                x[0], x[i] = x[0] ^ t, x[i] ^ t
+    x[1] ^= x[0]
+    x[2] ^= x[1]
+    t = 0
+    for q in (1 << b for b in range(bits - 1, 0, -1)):
+        t ^= (q - 1) if x[2] & q else 0
+    x = [v ^ t for v in x]
+    return int("".join(str(v >> b & 1) for b in range(bits - 1, -1, -1) for v in x), 2)
+
+
+def test_shards_match_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(i, prose(int(rng.integers(1, 400)), i), ["en", "de", None][i % 3], f"s{int(rng.integers(25)) ** 2}") for i in range(500)] + [(7, "again", "en", "s4")] * 2 + [(None, None, None, None)]
+
+    def cells(keys):
+        order, out, before = sorted(set(keys), key=lambda k: (k is not None, k)), {}, 0
+        for k in order:
+            out[k] = (2 * before + keys.count(k)) * 16 // (2 * len(keys))
+            before += keys.count(k)
+        return [out[k] for k in keys]
+
+    def klass(n):
+        b = n.bit_length() - 1
+        return n if n < 8 else b * 8 + (n >> (b - 3) & 7)
+
+    size = [len((r[1] or "").encode()) + 1 for r in rows]
+    index = [hilbert_of(p) for p in zip(cells([r[3] for r in rows]), cells([r[2] for r in rows]), cells([klass(n) for n in size]), strict=True)]
+    found = hilbert_sharding.shard(frame(spark, rows)).toPandas().sort_values(["shard", "slot"])
+    ours = found[["doc_id", "size", "hilbert"]].fillna(-1).astype(int).values.tolist()
+    assert sorted(map(tuple, ours)) == sorted((-1 if r[0] is None else r[0], n, h) for r, n, h in zip(rows, size, index, strict=True))
+    assert [h for *_, h in ours] == sorted(index)
+    n = len(rows)
+    assert found.shard.tolist() == [at * 16 // n for at in range(n)]
+    hilbert_sharding.write_shards(frame(spark, rows), str(tmp_path / "shards"))
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert sorted(map(str, back.select(*frame(spark, []).columns).collect())) == sorted(map(str, frame(spark, rows).collect()))
+    assert back.groupBy("shard").count().agg(F.max("count") - F.min("count")).first()[0] <= 1
+
+
+def test_shards_prune_files(spark):
+    docs = spark.createDataFrame([(i, "x" * (i * 37 % 900), f"l{i % 4}", f"host{i * 31 % 64:02d}") for i in range(3000)], "doc_id long, text string, lang string, source string")
+    placed = hilbert_sharding.shard(docs)
+    shards = {c: hilbert_sharding.scanned(docs, placed, c).agg(F.avg("shards")).first()[0] for c in ("source", "lang")}
+    assert shards["source"] < 10 and shards["lang"] < 12
+
+
 # 9
 
 
