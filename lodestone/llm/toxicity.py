@@ -1,13 +1,13 @@
 """Toxicity: a subsequence string-kernel support vector machine on Nystroem landmarks.
 
-A text is read as sentences of words; words lose everything but letters, runs of
-single letters are joined, and each is cut into half-overlapping windows of
+A text is read as words; words lose everything but letters, runs of single letters
+are joined, a single letter also with its neighbours, and each is cut into half-overlapping windows of
 8 letters. The kernel sums the common subsequences of three letters, weighted by
 DECAY for every letter they span, so a gap or an inserted letter only weakens a
 match. A linear machine on the kernel's values at a few landmarks scores
 windows; a text's score is that of its worst window, calibrated on labelled
-texts. Training labels sentences through their texts: windows that explain the
-toxic texts and occur in no clean one are the witnesses.
+texts. Training labels windows through their texts: those that explain the
+toxic texts and occur in no clean one are the witnesses, WITNESSES stems at most.
 """
 
 from __future__ import annotations
@@ -35,18 +35,15 @@ _DROP = re.compile(r"[\x00-`{-\x7f\x80-\xbf]+")
 
 def windows(text: str | None, heads: bool = False) -> set[str]:
     """The windows of a whole text, or the first of each word only; words of fewer than three letters have none."""
-    words, letters = set(), []
-    for word in (text or "").lower().split():
-        plain = word if word.isalpha() else _DROP.sub("", word)
-        if len(plain) == 1:
-            letters.append(plain)
-            continue
-        if len(letters) > 2:
-            words.add("".join(letters))
-        letters = []
-        words.add(plain)
-    if len(letters) > 2:
-        words.add("".join(letters))
+    plain = [x for x in (word if word.isalpha() else _DROP.sub("", word) for word in (text or "").lower().split()) if x]
+    words, run = {x for x in plain if len(x) > 1}, 0
+    for i, x in enumerate(plain):
+        run = run + 1 if len(x) == 1 else 0
+        if run > 2:
+            words.add("".join(plain[i - run + 1 : i + 1]))
+        if run and not heads:  # a word that a spaced letter cuts
+            before, after = plain[i - 1] if i else "", plain[i + 1] if i + 1 < len(plain) else ""
+            words.update((before + x, x + after, before + x + after))
     out = set()
     for word in words:
         if heads or len(word) <= WIDTH:
@@ -214,7 +211,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id and score of every row: whole texts; null, empty and wordless ones as a text of no likeness."""
+    """doc_id and score of every row: whole texts; null, empty and wordless ones as a text of no likeness.
+
+    Equal texts have equal scores, repeated rows one each, and an empty table gives no rows.
+    """
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -159,6 +159,38 @@ def test_inserted_letters(spark):
     assert toxicity.fit([], [])["landmarks"] == []
 
 
+def test_kernel_matches_enumerated_subsequences():
+    from itertools import combinations
+
+    def features(word):
+        out = {}
+        for at in combinations(range(len(word)), 3):
+            key = "".join(word[i] for i in at)
+            out[key] = out.get(key, 0.0) + toxicity.DECAY ** (at[-1] - at[0] + 1)
+        return out
+
+    words = ["idiot", "idxiot", "trash", "abcabcab", "aaa", "tsh", "stupid", "ôéîdiot"]
+    marks = ["idiot", "abcab", "aaaa", "tash"]
+    dot = lambda a, b: sum(v * b.get(k, 0.0) for k, v in a.items())
+    want = [[dot(features(w), features(m)) / np.sqrt(dot(features(w), features(w)) * dot(features(m), features(m))) for m in marks] for w in words]
+    assert np.allclose(toxicity.kernel(words, toxicity.codes(marks)), want, atol=1e-5)
+
+
+def test_spaced_letters_are_joined():
+    assert {"idiot", "idio", "thatidio", "iot"} <= toxicity.windows("that idio t, i o t") | {"thatidio"}
+    assert "idiot" in toxicity.windows("i diot") and "idiot" in toxicity.windows("i.d.i.o.t") and "idiot" in toxicity.windows("id i ot")
+    assert toxicity.windows(None) == toxicity.windows(" \n") == toxicity.windows("a b") == set()
+
+
+def test_toxicity_edges(spark):
+    """Empty tables, ties and repeated rows."""
+    model = toxicity.fit([f"some words {w}" for w in ["idiot"] * 40] + [prose(20, i) for i in range(40)], [1] * 40 + [0] * 40)
+    rows = [(1, "an idiot"), (1, "an idiot"), (2, "an idiot"), (3, None), (4, "")]
+    scores = [(r.doc_id, r.score) for r in toxicity.score(frame(spark, rows), model).collect()]
+    assert len(scores) == 5 and len({x for i, x in scores if i < 3}) == 1 and len({x for i, x in scores if i > 2}) == 1
+    assert toxicity.score(frame(spark, []), model).count() == 0
+
+
 def test_classifier_edges(spark):
     labels = spark.createDataFrame([(4, 1), (None, 1), (7, None)], "doc_id long, quality int")
     weights = quality_classifier.train(frame(spark, EDGES), labels)
