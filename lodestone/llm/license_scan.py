@@ -4,13 +4,19 @@ Text is folded to lower-case letters and digits. A segment is a run of words who
 first and last bigrams belong to a template; its score is 2 |A and B| / (|A| + |B|)
 over distinct bigrams. Since a score of t needs between |B| t / (2 - t) and
 |B| (2 - t) / t bigrams, templates of which a text holds fewer bigrams are dropped
-and segments never grow past the upper bound.
+and segments never grow past the upper bound, nor past SPAN times the template's words.
+
+Templates are one-line notices and the whole texts in the folder licenses, which are the
+licenses' own public texts. They are read on the driver and travel with the tasks.
 """
 
 from __future__ import annotations
 
+import heapq
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +27,9 @@ from .common import bounded_batches, read_table
 from .hashing import mix, word_hashes
 
 THRESHOLD = 0.8
-#: SPDX id -> notices that declare it. Callers may pass longer texts.
+#: Words of a segment at most, as a multiple of its template's.
+SPAN = 8
+#: SPDX id -> notices that declare it; whole texts join them from files.
 TEMPLATES = {
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "This project is licensed under the terms of the MIT license."],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "This file is licensed to you under the Apache License, Version 2.0."],
@@ -49,41 +57,85 @@ def bigrams(texts: list[bytes | None]) -> Iterator[np.ndarray]:
         yield mix(words[:-1] * np.uint64(3) + words[1:])
 
 
-def segments(grams: np.ndarray, template: np.ndarray, threshold: float) -> Iterator[tuple[float, int, int]]:
-    """Score and first and last bigram of every segment at or above the threshold, by first, then last bigram."""
-    hit = np.flatnonzero(np.isin(grams, template))
-    size, wanted = len(template), set(template.tolist())
-    least, most = size * threshold / (2 - threshold) - 1e-9, size * (2 - threshold) / threshold + 1e-9
-    if len(np.unique(grams[hit])) < least:
-        return
-    hits, values = set(hit.tolist()), grams.tolist()
-    for s in hit.tolist():
-        seen, both = set(), 0
-        for e in range(s, len(values)):
-            if values[e] not in seen:
-                seen.add(values[e])
-                if len(seen) > most:
-                    break
-                both += values[e] in wanted
-            if e in hits and (score := 2 * both / (len(seen) + size)) >= threshold and score > 0:
-                yield score, s, e
-
-
-def best_segment(grams: np.ndarray, template: np.ndarray, threshold: float) -> tuple[float, int, int]:
-    """Score and first and last bigram of the best segment, the leftmost and then shortest; (0, 0, 0) under the threshold."""
-    return min(segments(grams, template, threshold), key=lambda x: (-x[0], x[1], x[2]), default=(0.0, 0, 0))
-
-
-def apart(found: list[tuple[float, str, int, int]]) -> list[tuple[float, str, int, int]]:
-    """Of overlapping segments (score, id, first, last) the best, ties to the first id, then the leftmost and shortest; best first."""
+@cache
+def whole_texts() -> dict[str, str]:
+    """SPDX id -> the license's text."""
+    return {f.stem: f.read_text(encoding="utf-8") for f in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
+
+
+class Templates:
+    """Bigram sets of templates in order of their ids, and which of them holds a bigram."""
+
+    def __init__(self, named: list[tuple[str, np.ndarray]], threshold: float):
+        named = [(name, grams) for name, grams in named if len(grams)]
+        self.names, self.threshold = [name for name, _ in named], threshold
+        self.sets = [np.unique(g) for _, g in named]
+        self.sizes = np.array([len(x) for x in self.sets])
+        self.spans = [SPAN * len(g) for _, g in named]
+        self.least = self.sizes * threshold / (2 - threshold) - 1e-9
+        self.most = self.sizes * (2 - threshold) / threshold + 1e-9
+        every = np.concatenate(self.sets) if named else np.zeros(0, np.uint64)
+        owner = np.repeat(np.arange(len(named)), self.sizes) if named else np.zeros(0, np.int64)
+        order = np.argsort(every, kind="stable")
+        self.owner = owner[order]
+        self.every, self.first = np.unique(every[order], return_index=True)
+        self.until = np.append(self.first[1:], len(every))
+
+    def likely(self, grams: np.ndarray) -> list[int]:
+        """The templates of which a text holds enough distinct bigrams."""
+        if not len(self.every) or not len(grams):
+            return []
+        held = np.unique(grams)
+        low = np.minimum(np.searchsorted(self.every, held), len(self.every) - 1)
+        low = low[self.every[low] == held]
+        counts = np.zeros(len(self.names), np.int64)
+        for a, b in zip(self.first[low].tolist(), self.until[low].tolist(), strict=True):
+            counts[self.owner[a:b]] += 1
+        return np.flatnonzero((counts >= self.least) & (counts > 0)).tolist()
+
+
+def segments(grams: np.ndarray, templates: Templates) -> list[tuple[float, str, int, int]]:
+    """(score, id, first, last bigram) of the segments at or above the threshold, of which none overlap, best first.
+
+    Of overlapping segments of all templates the best counts, ties to the first id, then the leftmost and shortest.
+    Each start keeps its best end; where a better segment takes that end, the start is tried again up to it.
+    """
+    chosen = templates.likely(grams)
+    if not chosen:
+        return []
+    n, order = len(grams), np.argsort(grams, kind="stable")
+    before = np.full(n, -1)  # where the same bigram stood last
+    same = grams[order[1:]] == grams[order[:-1]]
+    before[order[1:][same]] = order[:-1][same]
+    wanted = {t: np.isin(grams, templates.sets[t]) for t in chosen}
+
+    def best(t: int, s: int, limit: int) -> tuple[float, str, int, int, int] | None:
+        end = min(limit, s + templates.spans[t])
+        new = before[s:end] < s
+        size = np.cumsum(new)
+        good = new & wanted[t][s:end]
+        both = np.cumsum(good)
+        at = np.flatnonzero(good & (size <= templates.most[t]))
+        score = 2 * both[at] / (size[at] + templates.sizes[t])
+        if not len(at) or (top := float(score.max())) < templates.threshold or top <= 0:
+            return None
+        return -top, templates.names[t], s, s + int(at[score.argmax()]), t
+
+    heap = [x for t in chosen for s in np.flatnonzero(wanted[t]).tolist() if (x := best(t, s, n))]
+    heapq.heapify(heap)
     kept, firsts, lasts = [], [], []
-    for score, name, s, e in sorted(found, key=lambda x: (-x[0], *x[1:])):
+    while heap:
+        score, name, s, e, t = heapq.heappop(heap)
         at = bisect_left(firsts, s)
-        if (at and lasts[at - 1] >= s) or (at < len(firsts) and firsts[at] <= e):
+        if (at and lasts[at - 1] >= s) or (at < len(firsts) and firsts[at] == s):
+            continue
+        if at < len(firsts) and firsts[at] <= e:
+            if x := best(t, s, firsts[at]):
+                heapq.heappush(heap, x)
             continue
         firsts.insert(at, s)
         lasts.insert(at, e)
-        kept.append((score, name, s, e))
+        kept.append((-score, name, s, e))
     return kept
 
 
@@ -94,18 +146,16 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, thresho
     words (of the normalised text) are those of the best, ties to the first id.
     Null, empty or clean texts have '' and 0. Equal rows give equal rows.
     """
-    known = [(name, t.encode()) for name, texts in sorted((templates or TEMPLATES).items()) for t in texts]
-    sets = [(name, np.unique(g)) for (name, _), g in zip(known, bigrams([t for _, t in known]), strict=True) if len(g)]
-    every = np.unique(np.concatenate([g for _, g in sets])) if sets else np.zeros(0, np.uint64)
+    texts = templates or {name: [*TEMPLATES.get(name, []), *([whole_texts()[name]] if name in whole_texts() else [])] for name in {*TEMPLATES, *whole_texts()}}
+    known = [(name, t.encode()) for name, all_ in sorted(texts.items()) for t in all_]
+    sets = Templates([(name, g) for (name, _), g in zip(known, bigrams([t for _, t in known]), strict=True)], threshold)
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for grams in bigrams(batch.column("_text").to_pylist()):
-                kept = []
-                if np.isin(grams, every).any():
-                    kept = apart([(score, name, s, e) for name, template in sets for score, s, e in segments(grams, template, threshold)])
+                kept = segments(grams, sets)
                 score, best, s, e = kept[0] if kept else (0.0, "", 0, -2)
                 rows.append((",".join(sorted({name for _, name, _, _ in kept})), best, score, s, e + 2))
             kinds = (pa.string(), pa.string(), pa.float64(), pa.int64(), pa.int64())

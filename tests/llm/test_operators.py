@@ -434,17 +434,39 @@ def test_licenses(spark):
     assert license_scan.scan(frame(spark, [])).count() == 0
 
 
-def test_best_segment_matches_brute_force():
+def test_segments_match_brute_force():
+    """Scores, spans and ties of all segments, by trying every run of words and taking the best that overlaps none."""
     rng = np.random.default_rng(2)
-    for _ in range(40):
-        grams, template = rng.integers(0, 12, 40).astype(np.uint64), np.unique(rng.integers(0, 12, 6).astype(np.uint64))
-        want = 0.0
-        for s in range(40):
-            for e in range(s, 40):
-                seg = set(grams[s : e + 1].tolist())
-                if grams[s] in template and grams[e] in template:
-                    want = max(want, 2 * len(seg & set(template.tolist())) / (len(seg) + len(template)))
-        assert license_scan.best_segment(grams, template, 0.8)[0] == (want if want >= 0.8 else 0.0)
+    for _ in range(60):
+        grams = rng.integers(0, 12, 40).astype(np.uint64)
+        named = [(name, rng.integers(0, 12, int(rng.integers(2, 8))).astype(np.uint64)) for name in "ab"]
+        every = []
+        for name, g in named:
+            template = set(g.tolist())
+            for s in range(40):
+                for e in range(s, min(40, s + license_scan.SPAN * len(g))):
+                    seg = set(grams[s : e + 1].tolist())
+                    score = 2 * len(seg & template) / (len(seg) + len(template))
+                    if grams[s] in template and grams[e] in template and score >= 0.8:
+                        every.append((-score, name, s, e))
+        want = []
+        for x in sorted(every):
+            if all(x[3] < y[2] or y[3] < x[2] for y in want):
+                want.append(x)
+        assert license_scan.segments(grams, license_scan.Templates(named, 0.8)) == [(-score, *rest) for score, *rest in want]
+
+
+def test_whole_licenses_and_repeats(spark):
+    """Each whole text is found inside other prose, with some words changed; a notice repeated 5,000 times ends soon."""
+    texts = license_scan.whole_texts()
+    changed = {name: " ".join(w if i % 50 else "changed" for i, w in enumerate(t.split())) for name, t in texts.items()}
+    rows = [(i, f"{prose(60, i)} {t} {prose(60, 90 + i)}") for i, t in enumerate(changed.values())]
+    rows += [(500, "Licensed under the MIT License. " * 5000), (501, " ".join(prose(1, i) + " Released under the MIT License." for i in range(300)))]
+    found = {r.doc_id: r for r in license_scan.scan(frame(spark, rows)).collect()}
+    assert all(name in found[i].licenses.split(",") for i, name in enumerate(changed))
+    assert found[500].licenses == found[501].licenses == "MIT" and found[500].dice == 1.0
+    twice = license_scan.scan(frame(spark, [(1, rows[0][1])] * 2)).collect()
+    assert twice[0] == twice[1]
 
 
 def test_relatives_in_one_text(spark):
