@@ -133,15 +133,38 @@ def reachable(candidates: DataFrame, scratch: Scratch) -> DataFrame:
     return known_next
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
+def unreached(found: DataFrame, on_chain: DataFrame) -> DataFrame:
+    """file, offset, to: per file the bytes after a chain that ends before the file does; no rows where every chain is whole.
+
+    found are the candidates of chunks, on_chain what reachable returns of them. A chain ends early at a record
+    without a length, or whose length leads to no candidate; what follows can't be told from payload.
+    """
+    real = found.join(on_chain.select(F.col("file").alias("_f"), F.col("offset").alias("_o")), (F.col("file") == F.col("_f")) & (F.col("offset") == F.col("_o")), "left_semi")
+    reached = real.groupBy("file").agg(F.max_by("next", "offset").alias("_next"), F.max("offset").alias("_last"))
+    ends = found.groupBy(F.col("file").alias("_f")).agg(F.max(F.col("offset") + len(MAGIC) + F.col("size")).alias("_end"))
+    joined = ends.join(reached, F.col("_f") == F.col("file"), "left")
+    at = F.coalesce(F.when(F.col("_next") <= F.col("_end"), F.col("_next")), F.col("_last"), F.lit(0).cast("long"))
+    return joined.where("_next IS NULL OR _next <> _end").select(F.col("_f").alias("file"), at.alias("offset"), F.col("_end").alias("to"))
+
+
+class BrokenChain(ValueError):
+    """Archives with bytes that no chain from a file's start reaches."""
+
+
+def read_warc(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """file, offset, page_id, record_type, refers_to, payload_bytes, payload_digest of every record of the archives.
 
     payload_bytes and payload_digest are those of the stored payload. A payload that
     quotes the version line arrives in several chunks, which are put together again.
+    An absent field is null. An archive whose chain ends before the file does, by a wrong or missing length or a
+    cut, is an error; unless strict, its records up to there are read. Empty archives have no records.
     """
     scratch = Scratch(spark, "warc")
     found = chunks(spark, path, scratch)
-    on_chain = reachable(found, scratch).select(F.col("file").alias("_f"), F.col("offset").alias("_o"))
+    chain = reachable(found, scratch)
+    if strict and (broken := unreached(found, chain).limit(3).collect()):
+        raise BrokenChain("; ".join(f"{b.file}: bytes {b.offset} to {b.to} follow from no record" for b in broken))
+    on_chain = chain.select(F.col("file").alias("_f"), F.col("offset").alias("_o"))
     rows = found.join(on_chain, (F.col("file") == F.col("_f")) & (F.col("offset") == F.col("_o")), "left").withColumn("real", F.col("_o").isNotNull()).drop("_f", "_o")
     rows = scratch.keep(rows.where("claimed IS NOT NULL OR NOT real"), "verified")
     fields = ["file", "offset", "page_id", "record_type", "refers_to", "stated_digest", "claimed"]
@@ -175,7 +198,7 @@ def resolved(found: DataFrame) -> DataFrame:
     named = named.select(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest"), F.col("payload_bytes").alias("_bytes")).distinct()
     joined = moved.join(broadcast_if_small(named), (F.col("refers_to") == F.col("_id")) & (F.col("stated_digest") == F.col("_digest")), "left")
     full = joined.withColumn("payload_bytes", F.col("_bytes")).withColumn("payload_digest", F.col("stated_digest")).select(*found.columns)
-    return found.where("record_type <> 'revisit'").unionByName(full)
+    return found.where("coalesce(record_type, '') <> 'revisit'").unionByName(full)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,6 +137,30 @@ def test_archives(spark, tmp_path):
     assert {i: r.refers_to for i, r in found.items() if r.record_type == "revisit"} == {2: 3, 7: 8}
 
 
+def record(page, body, kind="WARC-Type: response\r\n", length=None):
+    return f"WARC/1.1\r\n{kind}WARC-Record-ID: <urn:page:{page}>\r\nContent-Length: {len(body) if length is None else length}\r\n\r\n{body}\r\n\r\n"
+
+
+def test_broken_archives(spark, tmp_path):
+    """A record without a type is kept; a chain that ends early is an error, or read as far as it goes."""
+    read = lambda text, **how: (lambda f: (f.write_text(text, newline=""), sorted((r.page_id, r.record_type) for r in warc.resolved(warc.read_warc(spark, str(f), **how)).collect()))[1])(tmp_path / "a.warc")
+    assert read(record(1, "x", "") + record(2, "yy")) == [(1, None), (2, "response")]
+    for bad in (record(1, "x") + record(2, "yy", length=5) + record(3, "z"), record(1, "x") + "WARC/1.1\r\nWARC-Type: response\r\n\r\nno length\r\n\r\n" + record(3, "z"), record(1, "x") + record(2, "y" * 50)[:-30]):
+        with pytest.raises(warc.BrokenChain):
+            read(bad)
+        assert (1, "response") in read(bad, strict=False) and 3 not in [i for i, _ in read(bad, strict=False)]
+
+
+def test_pages_edges(spark, tmp_path):
+    """An empty table, repeated page ids, one long payload."""
+    pages = spark.createDataFrame([(1, "u", "a" * 1500), (1, "u", "b" * 1500), (1, "u", "a" * 1500), (2, "u", "a" * 1500), (3, "u", "long " * 400_000)], "page_id long, url string, html string")
+    warc.write_warc(pages, str(tmp_path / "a"))
+    found = [(r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.resolved(warc.read_warc(spark, str(tmp_path / "a"))).collect()]
+    assert sorted(found, key=str) == sorted([(1, "revisit", 2, 1500), (1, "response", None, 1500), (1, "revisit", 2, 1500), (2, "response", None, 1500), (3, "response", None, 2_000_000)], key=str)
+    warc.write_warc(pages.limit(0), str(tmp_path / "b"))
+    assert warc.resolved(warc.read_warc(spark, str(tmp_path / "b"))).count() == 0
+
+
 # 3 and 6
 
 
