@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 import urllib.request
 from collections.abc import Callable, Iterator
@@ -43,39 +44,86 @@ def _mixed(units: np.ndarray, seed: int) -> int:
     return h - (1 << 32) if h >= 1 << 31 else h
 
 
+_ODD = re.compile("[\x1c-\x1f\x85\ufeff]")
+_SPACE = re.compile("[\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+")
+
+
 class HashEmbedder(Embedder):
-    """Deterministic vectors from character trigrams, bigrams and words; unit length, zeros for no words."""
+    """Deterministic vectors from character trigrams, bigrams and words; unit length, zeros for no words.
+
+    Distinct tokens of a block of texts are hashed together, and texts sum their tokens' vectors.
+    """
 
     PLANS = ((3, 42, 0.1), (2, 97, 0.05))
+    #: Characters of a block of texts; longest token that is hashed with the others.
+    BLOCK, LONG = 1 << 19, 64
 
     def __init__(self, dimensions: int = 64):
         super().__init__(dimensions)
-        self._seen: dict[str, list[tuple[int, float]]] = {}
-
-    def _parts(self, token: str) -> list[tuple[int, float]]:
-        if token not in self._seen:
-            units = np.frombuffer(token.encode("utf-16-le", "surrogatepass"), np.uint16)
-            parts = []
-            for n, seed, weight in self.PLANS:
-                for i in range(len(units) - n + 1):
-                    h = _mixed(units[i : i + n], seed)
-                    parts.append((abs(h) % self.dimensions, weight if h > 0 else -weight))
-            parts.append((abs(_mixed(units, 7)) % self.dimensions, 0.3))
-            if len(self._seen) > 200_000:
-                self._seen.clear()
-            self._seen[token] = parts
-        return self._seen[token]
+
+    @staticmethod
+    def tokens(text: str) -> list[str]:
+        text = text.lower()
+        return [t for t in _SPACE.split(text) if t] if _ODD.search(text) else text.split()
+
+    def _vectors(self, tokens: list[str]) -> np.ndarray:
+        """A row a token."""
+        raw = [t.encode("utf-16-le", "surrogatepass") for t in tokens]
+        size = np.array([len(r) // 2 for r in raw])
+        units = np.frombuffer(b"".join(raw), np.uint16).astype(np.uint32)
+        start = np.cumsum(size) - size
+        token = np.repeat(np.arange(len(tokens)), size)
+        left = np.repeat(start + size, size) - np.arange(len(units))  # units from here to the token's end
+        at, weight = [], []
+
+        def put(rows: np.ndarray, h: np.ndarray, x: float) -> None:
+            signed = h.view(np.int32).astype(np.int64)
+            at.append(rows * self.dimensions + np.abs(signed) % self.dimensions)
+            weight.append(np.where(signed > 0, x, -x))
+
+        def step(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+            h = (h ^ c) * np.uint32(0x5BD1E995)
+            return h ^ (h >> np.uint32(13))
+
+        for n, seed, x in self.PLANS:
+            first = np.flatnonzero(left >= n)
+            h = np.full(len(first), seed, np.uint32)
+            for j in range(n):
+                h = step(h, units[first + j])
+            put(token[first], h, x)
+        word = np.full(len(tokens), 7, np.uint32)
+        for j in range(min(self.LONG, int(size.max(initial=0)))):
+            on = np.flatnonzero(size > j)
+            word[on] = step(word[on], units[start[on] + j])
+        for i in np.flatnonzero(size > self.LONG).tolist():
+            word[i] = np.uint32(_mixed(units[start[i] : start[i] + size[i]], 7) & 0xFFFFFFFF)
+        signed = np.abs(word.view(np.int32).astype(np.int64))
+        at.append(np.arange(len(tokens)) * self.dimensions + signed % self.dimensions)
+        weight.append(np.full(len(tokens), 0.3))
+        return np.bincount(np.concatenate(at), np.concatenate(weight), len(tokens) * self.dimensions).reshape(-1, self.dimensions)
 
     def embed_many(self, texts: list[str]) -> list[list[float]]:
-        out = []
+        out, block, size = [], [], 0
         for text in texts:
-            v = [0.0] * self.dimensions
-            for token in text.lower().split():
-                for at, x in self._parts(token):
-                    v[at] += x
-            size = sum(x * x for x in v) ** 0.5
-            out.append([x / size for x in v] if size > 0 else v)
-        return out
+            block.append(text)
+            size += len(text)
+            if size >= self.BLOCK:
+                out += self._block(block)
+                block, size = [], 0
+        return out + self._block(block)
+
+    def _block(self, texts: list[str]) -> list[list[float]]:
+        words = [self.tokens(t) for t in texts]
+        place: dict[str, int] = {}
+        index = np.array([place.setdefault(w, len(place)) for ws in words for w in ws], np.int64)
+        out = np.zeros((len(texts), self.dimensions))
+        if place:
+            vectors = self._vectors(list(place))
+            ends = np.cumsum([len(ws) for ws in words])
+            for i, end in enumerate(ends.tolist()):
+                out[i] = vectors[index[end - len(words[i]) : end]].sum(axis=0)
+        length = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        return np.divide(out, length, out=out, where=length > 0).tolist()
 
 
 class HttpEmbedder(Embedder):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +15,8 @@ from . import knn
 #: id_type 0: string, 1: integer (up to 38 digits); strings sort before integers.
 SCHEMA = "id_type tinyint, id string, id_big decimal(38,0), seq bigint, embedding array<double>, context variant"
 ORDER = ("id_type", "id_big", "id")
+#: Rows of a batch whose keys are broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def id_key(kind: Column, text: Column) -> Column:
@@ -65,18 +67,15 @@ class Collection:
     def add_many(self, entries: DataFrame) -> Collection:
         """Upsert: whole rows replace those of the same id, which keep their place; the last of a batch wins."""
         self.check(entries)
-        old = self._keyed().withColumn("_batch", F.lit(0))
-        new = self._keyed(entries).withColumn("_batch", F.lit(1))
-        key = Window.partitionBy("_key")
-        both = old.unionByName(new)
+        last = self._keyed(entries).groupBy("_key").agg(F.max_by(F.struct(*self.df.columns), "seq").alias("_new"), F.min("seq").alias("_first"))
+        keys = last.select("_key")
+        keys = F.broadcast(keys) if entries.count() <= BROADCAST_ROWS else keys  # with a small batch the collection's vectors don't move
+        was = self._keyed().select("_key", F.col("seq").alias("_was")).join(keys, "_key", "left_semi")
         top = self.df.agg(F.coalesce(F.max("seq") + 1, F.lit(0)).alias("_next"))
-        ranked = both.withColumns({
-            "_last": F.row_number().over(key.orderBy(F.desc("_batch"), F.desc("seq"))),
-            "_first_old": F.min(F.when(F.col("_batch") == 0, F.col("seq"))).over(key),
-            "_first_new": F.min("seq").over(key),
-        }).where("_last = 1")
-        placed = ranked.crossJoin(F.broadcast(top)).withColumn("seq", F.coalesce("_first_old", F.col("_next") + F.col("_first_new")))  # one row
-        return self._with(placed.select(*self.df.columns))
+        placed = last.join(was, "_key", "left").crossJoin(F.broadcast(top))  # one row
+        seq = F.coalesce("_was", F.col("_next") + F.col("_first")).alias("seq")
+        new = placed.select(*(seq if c == "seq" else F.col("_new")[c].alias(c) for c in self.df.columns))
+        return self._with(self._keyed().join(keys, "_key", "left_anti").select(*self.df.columns).unionByName(new))
 
     add = add_many
 

@@ -23,7 +23,7 @@ def read_entries(spark: SparkSession, path: str, kind: str = "jsonl") -> DataFra
         # line numbers count the lines with something on them; a file is read in order by one task only where a line is bad
         lines = spark.read.text(path).where(F.trim("value") != "")
         if not lines.where(F.try_parse_json("value").isNull()).isEmpty():
-            numbered = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("n", "value"))
+            numbered = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("n", "value"))
             first = numbered.where(F.try_parse_json("value").isNull()).agg(F.min("n")).first()[0]
             raise FormatError(f"Invalid JSON on line {first + 1}")
     rows = reader.option("multiLine", kind == "json").json(path)
