@@ -26,7 +26,7 @@ from .hashing import shingles, word_hashes
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Share of a value's information.
 DISCLOSURE = 0.9
-#: Disclosing terms shipped as one block; terms that a task holds before it merges their counts.
+#: Disclosing terms that are broadcast, of 9 bytes each, beyond which they are joined; terms that a task holds before it merges their counts.
 TERM_BLOCK, MERGE = 2_000_000, 1 << 20
 
 _DIGIT = re.compile(r"[0-9]")
@@ -131,8 +131,8 @@ def term_hashes(words: np.ndarray) -> np.ndarray:
     return shingles(words, 1).view(np.int64)
 
 
-def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Sorted term hashes with whether each discloses completely, in blocks of at most about TERM_BLOCK; statistics cover all documents.
+def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
+    """term (its hash) and whether it discloses completely; statistics cover all documents.
 
     With d for disclosure, a term passes where log2 n(e,t) - (1 - d) log2 n(e) reaches log2 n(t) - (1 - d) log2 N
     for some value e: the left side is brought to its greatest per term before terms meet their counts.
@@ -154,14 +154,23 @@ def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE) -> Iterato
     best = alone.unionByName(shared).groupBy("term").agg(F.max(F.log2("n_et") - rest * F.log2("n_e")).alias("_gain"), F.max("n_et").alias("_most"))
     counts = rows.where("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("n_t"))
     told = best.join(counts, "term").where(F.col("_gain") >= F.log2("n_t") - rest * F.log2(F.lit(float(total))) - 1e-9)
-    found = scratch.keep(told.select("term", (F.col("_most") >= F.col("n_t")).cast("byte").alias("complete")), "told") if total else None
-    blocks = -(-found.count() // TERM_BLOCK) if total else 0
-    for b in range(blocks):
-        part = found.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == b).toArrow()
-        terms, complete = part.column("term").to_numpy(), part.column("complete").to_numpy()
-        if len(terms):
-            order = np.argsort(terms)
-            yield terms[order], complete[order]
+    return scratch.keep(told.select("term", (F.col("_most") >= F.col("n_t")).cast("byte").alias("complete")).where(F.lit(total > 0)), "told")
+
+
+def with_terms(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """doc_id, text and the disclosing terms of each text with whether they are complete, by joins; for terms too many to broadcast."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, words in zip(batch.column("_name").to_pylist(), word_hashes(batch.column("_text").to_pylist()), strict=True):
+                own = np.unique(term_hashes(words))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(own), pa.binary()), pa.array(own)], ["_name", "term"])
+
+    named = docs.withColumn("_name", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+    words = named.where("text IS NOT NULL").select("_name", F.col("text").cast("binary").alias("_text")).mapInArrow(run, "_name binary, term long").distinct()
+    held = words.join(told, "term").groupBy("_name").agg(F.array_sort(F.collect_list(F.struct("term", "complete"))).alias("_held"))  # no more than a text's words
+    held = Scratch(docs.sparkSession, "disclosure").keep(held, "held")
+    return named.join(held, "_name", "left").select("doc_id", "text", F.col("_held.term").alias("terms"), F.col("_held.complete").alias("complete"))
 
 
 def _term_spans(text: str, base: list[tuple[str, int, int]], hashes: np.ndarray, terms: np.ndarray, complete: np.ndarray) -> list[tuple[str, int, int, bool]]:
@@ -183,17 +192,26 @@ def find(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    blocks = [spark.sparkContext.broadcast(b) for b in disclosing_terms(docs)]
+    told = disclosing_terms(docs)
+    kept, n, shipped = docs.select("doc_id", "text"), told.count(), None
+    if n > TERM_BLOCK:
+        kept = with_terms(kept, told)
+    elif n:
+        table = told.toArrow()  # TERM_BLOCK rows at most
+        terms, complete = table.column("term").to_numpy(), table.column("complete").to_numpy()
+        order = np.argsort(terms)
+        shipped = spark.sparkContext.broadcast((terms[order], complete[order]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told = [b.value for b in blocks]
+        told = shipped.value if shipped else None
         for batch in batches:
             rows, texts = [], batch.column("text").to_pylist()
-            hashes = word_hashes([t.encode() if t else None for t in texts]) if told else iter([np.zeros(0, np.uint64)] * len(texts))
-            for raw, words in zip(texts, hashes, strict=True):
+            own = zip(batch.column("terms").to_pylist(), batch.column("complete").to_pylist(), strict=True) if "terms" in batch.schema.names else iter([told] * len(texts))
+            hashes = word_hashes([t.encode() if t else None for t in texts]) if n else iter([np.zeros(0, np.uint64)] * len(texts))
+            for raw, words, known in zip(texts, hashes, own, strict=True):
                 text = raw or ""
                 base = base_spans(text) if "@" in text or _DIGIT.search(text) else []
-                terms = [s for t, c in told for s in _term_spans(text, base, term_hashes(words), t, c)] if told and len(words) else []
+                terms = _term_spans(text, base, term_hashes(words), np.asarray(known[0], np.int64), np.asarray(known[1])) if known and known[0] is not None and len(known[0]) and len(words) else []
                 count = [sum(k == kind for k, *_ in base) for kind in KINDS[:4]]
                 line = lambda spans: ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
                 every = sorted([*base, *(t[:3] for t in terms)], key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
@@ -210,7 +228,6 @@ def find(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names)
 
     names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_term", "sanitised"]
-    kept = docs.select("doc_id", "text")
     kind = kept.schema["doc_id"].dataType.simpleString()
     return kept.mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_term long, sanitised string")
 

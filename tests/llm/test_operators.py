@@ -243,6 +243,14 @@ def test_disclosing_terms(spark):
     assert pii.find(frame(spark, [])).count() == 0
 
 
+def test_terms_by_joins(spark, monkeypatch):
+    """Terms too many to broadcast give the same rows."""
+    rows = [(i, f"{prose(20, i)} Zebulon wrote z@corp.example.com {prose(20, 90 + i)}") for i in range(4)] + [(10 + i, prose(60, 500 + i)) for i in range(20)] + EDGES
+    want = sorted(map(str, pii.find(frame(spark, rows)).collect()))
+    monkeypatch.setattr(pii, "TERM_BLOCK", 3)
+    assert sorted(map(str, pii.find(frame(spark, rows)).collect())) == want
+
+
 def test_terms_of_values_in_one_or_two_texts(spark):
     """Against brute force over whole documents: values of one, two and many texts, terms far from their value."""
     far = prose(40, 7)
