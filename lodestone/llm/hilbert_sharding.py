@@ -48,13 +48,14 @@ def hilbert_index(df: DataFrame, dims: list[str], name: str, bits: int = BITS) -
 
 
 def file_positions(docs: DataFrame, name: str) -> DataFrame:
-    """docs, read from files that one job wrote in order, with the place from 0 of each row in that order."""
-    rows = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    """docs, read from files that one job wrote in order, with the place from 0 of each row in that order, in a column that replaces any of its name."""
+    packed = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_packed")
+    rows = docs.select(packed, F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
     files = rows.groupBy("_file").agg(F.count("*").alias("_n"))
     upto = Window.orderBy("_name").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row a file
     starts = files.select(F.col("_file").alias("_name"), "_n").select("_name", (F.sum("_n").over(upto) - F.col("_n")).alias("_start"))
     placed = rows.join(F.broadcast(starts), F.col("_file") == F.col("_name"))
-    return placed.select(*(F.col(f"`{c}`") for c in docs.columns), (F.col("_start") + F.col("_row")).alias(name))
+    return placed.select(*(F.col("_packed").getField(c).alias(c) for c in docs.columns if c != name), (F.col("_start") + F.col("_at")).alias(name))
 
 
 def size_class(size) -> F.Column:

@@ -65,3 +65,21 @@ def test_mixture_reaches_the_shards(spark):
     assert abs(first(with_) - weight) < 0.02 and abs(first(without) - 1 / 3) < 0.04
     counts = with_.groupby("shard").slot.agg(["size", "max"])
     assert len(counts) == 16 and counts["size"].max() - counts["size"].min() <= 1 and (counts["max"] + 1 == counts["size"]).all()
+
+
+def test_edges(spark):
+    """Nulls in every column, empty and long texts, repeated rows, columns named like the stages' own, and an empty table."""
+    long = " ".join(f"w{i * 7919 % 5000}" for i in range(40_000))
+    rows = [(1, None, None, None), (2, "", "en", "s"), (3, long, "en", None), (None, "some words", None, "s"), (5, "a b", "en", "s"), (5, "a b", "en", "s"), (6, "a b c d e f g", None, "t")]
+    schema = "doc_id long, text string, lang string, source string, _gone int, _hit int, _row int, _text string, score double, shard int, slot long"
+    docs = spark.createDataFrame([(*r, 1, 2, 3, "x", 0.5, 4, 5) for r in rows], schema)
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        left = stage(spark, docs, SF)
+        assert left.columns == docs.columns, name
+        assert sorted({str(r.doc_id) for r in left.collect()}) == ["1", "2", "3", "5", "6", "None"], name
+    scratch = Scratch(spark, "edges")
+    assert corpus_pipeline.quality(spark, docs, SF).columns == docs.columns
+    assert corpus_pipeline.shards(spark, scratch.keep(docs, "docs"), SF).count() == len(rows)
+    none = scratch.keep(docs.limit(0), "none")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, SF).count() == 0, name
