@@ -5,13 +5,12 @@ the deadline ceil((j + 1) / w). In each slot the released block of the earliest
 deadline runs, so while every source has blocks, each source's blocks among
 the first t differ from w t by less than one. Weights are whole numbers over their
 sum: row counts for natural shares, else the targets to 36 bits. The slots of all
-blocks come from a fold inside a single SQL expression, one step a block; a
+blocks come from ``deadlines``, which spreads the schedule over tasks; a
 document's slot follows from its rank in its source by one join. Only DataFrame
 operations are used.
 
-The fold is bounded whatever the input: blocks grow with the corpus, so that blocks
-times sources stay near WORK, and where sources outnumber SOURCES, those of less than a
-block are scheduled as one, inside which a hash of the id mixes them.
+Blocks have the same rows and every source its own weight, however large the input
+and however many its sources.
 """
 
 from __future__ import annotations
@@ -20,12 +19,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, broadcast_if_small, read_table
+from .deadlines import earliest_first
 from .ranking import rank_in_group
 
-#: Documents of a block at least; blocks that the fold appends to one list; sum of the weights where they are no row counts.
-BLOCK_ROWS, CHUNK, SCALE = 32, 1000, 1 << 36
-#: Steps of the fold, blocks times sources, and sources that are scheduled one by one.
-WORK, SOURCES = 4_000_000, 2000
+#: Documents of a block; blocks that one expression schedules; sum of the weights where they are no row counts; blocks listed at once.
+BLOCK_ROWS, CHUNK, SCALE, SPAN = 32, 1000, 1 << 36, 10_000
 #: Exponent on a source's share of the rows: 1 keeps natural shares, less lifts small sources.
 TEMPERATURE = 0.7
 
@@ -52,65 +50,55 @@ def weights(sizes: DataFrame, temperature: float, block_rows: int, targets: dict
     )
 
 
-def schedule(weights_: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """_i, _b, _slot, _end: every block's slot, by earliest deadline among the released, and the first slot that a source can't fill."""
-    one = weights_.agg(F.array_sort(F.collect_list(F.struct("_index", "_w", "_blocks"))).alias("p"), F.max("_all").alias("a"), F.sum("_blocks").alias("b"))
-    # state: next slot, first slot without a block, blocks each source has had, picks; a source without blocks competes until it wins once
-    best = """array_min(transform(p, (x, i) -> if(u.k[i] < x._blocks or u.end is null, named_struct('at', greatest(u.t, (u.k[i] * a) div x._w),
-      'due', ((u.k[i] + 1) * a + x._w - 1) div x._w, 'i', i, 'real', u.k[i] < x._blocks), null)))"""
-    step = """named_struct('t', if(m.real, m.at + 1, v.t), 'end', if(m.real or v.end is not null, v.end, m.at),
-      'k', if(m.real, transform(v.k, (x, i) -> if(i = m.i, x + 1L, x)), v.k),
-      'picks', if(m.real, array_append(v.picks, named_struct('i', m.i, 'b', v.k[m.i], 'at', m.at)), v.picks))"""
-    picks = "array<struct<i: int, b: bigint, at: bigint>>"
-    part = f"""aggregate(sequence(1, {chunk}), named_struct('t', s.t, 'end', s.end, 'k', s.k, 'picks', cast(array() as {picks})),
-      (u, n) -> aggregate(array({best}), u, (v, m) -> {step}))"""
-    fold = f"""aggregate(sequence(0L, b div {chunk}),
-      named_struct('t', 0L, 'end', cast(null as bigint), 'k', transform(p, x -> 0L), 'picks', cast(array() as array<{picks}>)),
-      (s, c) -> aggregate(array({part}), s, (o, r) -> named_struct('t', r.t, 'end', r.end, 'k', r.k, 'picks', array_append(o.picks, r.picks))),
-      s -> transform(flatten(s.picks), x -> named_struct('_i', x.i, '_b', x.b, '_slot', x.at, '_end', s.end)))"""
-    return one.select(F.inline(F.expr(fold)))
-
-
-def mix(docs: DataFrame, temperature: float = TEMPERATURE, block_rows: int = BLOCK_ROWS, chunk: int = CHUNK, targets: dict[str | None, float] | None = None, work: int = WORK, most_sources: int = SOURCES) -> DataFrame:
+def schedule(weights_: DataFrame, chunk: int = CHUNK) -> tuple[DataFrame, int]:
+    """_i, _b, _slot, _r, _due: every block's slot, release and deadline, by earliest deadline among the released; and the first slot that a source can't fill."""
+    at = lambda block, plus: F.expr(f"(CAST({block} AS DECIMAL(19, 0)) * CAST(_all AS DECIMAL(19, 0)) + {plus}) DIV _w")
+    spans = weights_.withColumn("_span", F.explode(F.expr(f"sequence(0L, (_blocks - 1) DIV {SPAN})")))
+    blocks = spans.withColumn("_b", F.explode(F.expr(f"sequence(_span * {SPAN}, least(_blocks, (_span + 1) * {SPAN}) - 1)")))
+    slots = earliest_first(blocks.select(F.col("_index").cast("int").alias("_i"), "_b", at("_b", 0).alias("_r"), at("(_b + 1)", "_w - 1").alias("_due")), chunk)
+    # the block after each source's last: the first slot which one of them would win ends the exact part; that is before the first of their deadlines
+    after = weights_.select(at("_blocks", 0).alias("_slot"), at("(_blocks + 1)", "_w - 1").alias("_due"), F.col("_index").cast("int").alias("_i"))
+    low, high = after.agg(F.min("_slot"), F.min("_due")).first()
+    if low is None:
+        return slots, 0
+    key = F.struct("_due", "_i")
+    near = slots.where((F.col("_slot") >= low) & (F.col("_slot") < high)).select("_slot", key.alias("_real"), F.lit(None).cast(after.select(key).schema[0].dataType).alias("_none"))
+    events = near.unionByName(after.where(F.col("_slot") < high).select("_slot", F.lit(None).cast(near.schema["_real"].dataType).alias("_real"), key.alias("_none")))
+    ahead = Window.orderBy("_slot", F.asc_nulls_first("_real")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = events.withColumn("_none", F.min("_none").over(ahead)).where(F.col("_real").isNotNull())
+    seen = seen.withColumn("_free", F.coalesce(F.lag("_slot").over(Window.orderBy("_slot")) + 1, F.lit(low)))
+    ends = F.when(F.col("_free") < F.col("_slot"), F.col("_free")).when(F.col("_real") > F.col("_none"), F.col("_slot"))
+    end, last = seen.agg(F.min(ends), F.max("_slot")).first()
+    return slots, end if end is not None else low if last is None else last + 1
+
+
+def mix(docs: DataFrame, temperature: float = TEMPERATURE, block_rows: int = BLOCK_ROWS, chunk: int = CHUNK, targets: dict[str | None, float] | None = None, work: int | None = None, most_sources: int | None = None) -> DataFrame:
     """docs with _block, _slot, _release, _deadline, _position and _exact: the place of every row in the mixture.
 
-    Rows of a source are shuffled by a hash of doc_id and cut into blocks of block_rows, or more where the
-    corpus is large. _slot is the block's slot, _position orders all rows, _exact is true before the
-    first slot that a source can't fill; up to there the deviation is under one block.
-    Afterwards the sources left go on in their order, so no row is dropped.
-    Null is a source like any other; repeated rows each have a place.
+    Rows of a source are shuffled by a hash of doc_id and cut into blocks of block_rows. _slot is the block's slot, _position
+    orders all rows, _exact is true before the first slot that a source can't fill; up to there the deviation is under one block.
+    Afterwards the sources left go on in their order, so no row is dropped. Null is a source like any other; repeated rows each have a place.
+    chunk bounds what one expression schedules and changes no result. work and most_sources once bounded the fold; they are accepted and have no effect.
     """
     held = [c for c in docs.columns if c not in ("doc_id", "source")]
     plain = docs.select("doc_id", "source", *((F.struct(*(F.col(f"`{c}`") for c in held)).alias("_held"),) if held else ()))
-    sizes = Scratch(docs.sparkSession, "mixture").keep(docs.groupBy(F.col("source").alias("_group")).agg(F.count("*").alias("_rows")), "sizes")
-    n_sources, n_rows = sizes.agg(F.count("*"), F.coalesce(F.sum("_rows"), F.lit(0))).first()
-    block_rows = max(block_rows, -(-n_rows * min(n_sources, most_sources) // work))
-    lane = F.col("source")
-    if n_sources > most_sources:
-        small = sizes.where(F.col("_rows") < block_rows).select(F.col("_group").alias("_small"), F.lit(True).alias("_pooled"))
-        plain = plain.join(broadcast_if_small(small), F.col("source").eqNullSafe(F.col("_small")), "left").withColumn("_lane", F.struct(F.coalesce("_pooled", F.lit(False)).alias("pooled"), F.when(F.col("_pooled").isNull(), F.col("source")).alias("source"))).drop("_small", "_pooled")
-        lane = F.struct((F.col("_rows") < block_rows).alias("pooled"), F.when(F.col("_rows") >= block_rows, F.col("_group")).alias("source"))
-    else:
-        plain = plain.withColumn("_lane", lane)
-        lane = F.col("_group")
-    ranked, _ = rank_in_group(plain, "_lane", F.xxhash64("doc_id", F.lit(5)), [F.col("doc_id")])
-    # the sources that share a lane also share its weight
-    of = Scratch(docs.sparkSession, "mixture").keep(weights(sizes, temperature, block_rows, targets), "weights")
-    sums = of.join(broadcast_if_small(sizes, n_sources), F.col("_source").eqNullSafe(F.col("_group"))).groupBy(lane.alias("_lane_of")).agg(F.sum("_w").alias("_w"), F.max("_all").alias("_all"), F.expr(f"(sum(_rows) + {block_rows - 1}) DIV {block_rows}").alias("_blocks"), F.min("_index").alias("_index"))
-    lanes = Scratch(docs.sparkSession, "mixture").keep(sums, "lanes")
-    plan = Scratch(docs.sparkSession, "mixture").keep(schedule(lanes, chunk), "schedule")  # a few numbers a block
+    scratch = Scratch(docs.sparkSession, "mixture")
+    sizes = scratch.keep(docs.groupBy(F.col("source").alias("_group")).agg(F.count("*").alias("_rows")), "sizes")
+    of = scratch.keep(weights(sizes, temperature, block_rows, targets), "weights")
+    plan, end = schedule(of, chunk)  # a few numbers a block
+    ranked, _ = rank_in_group(plain, "source", F.xxhash64("doc_id", F.lit(5)), [F.col("doc_id")])
     placed = ranked.drop("_group").withColumn("_block", F.expr(f"_rank DIV {block_rows}")).join(
-        broadcast_if_small(lanes.select(F.col("_lane_of").alias("_s"), "_index", "_w", "_all")), F.col("_lane").eqNullSafe(F.col("_s"))
+        broadcast_if_small(of.select(F.col("_source").alias("_s"), "_index")), F.col("source").eqNullSafe(F.col("_s"))
     )
     placed = placed.join(broadcast_if_small(plan), (F.col("_index") == F.col("_i")) & (F.col("_block") == F.col("_b")))
     return placed.select(
         *(F.col("doc_id") if c == "doc_id" else F.col("source") if c == "source" else F.col("_held").getField(c).alias(c) for c in docs.columns),
         "_block",
         "_slot",
-        F.expr("(_block * _all) DIV _w").alias("_release"),
-        F.expr("((_block + 1) * _all + _w - 1) DIV _w").alias("_deadline"),
+        F.col("_r").alias("_release"),
+        F.col("_due").alias("_deadline"),
         (F.col("_slot") * block_rows + F.expr(f"_rank % {block_rows}")).alias("_position"),
-        (F.col("_slot") < F.col("_end")).alias("_exact"),
+        (F.col("_slot") < end).alias("_exact"),
     )
 
 

@@ -355,6 +355,35 @@ def test_many_sources(spark):
         pfair_mixing.mix(frame(spark, rows), targets={"hot": -1.0})
 
 
+def test_mixture_is_the_same_at_any_size(spark):
+    """Sources by the thousand are scheduled one by one, and no bound on work makes blocks larger."""
+    sizes = {"hot": 300} | {f"s{i:04d}": 1 for i in range(2003)}
+    rows = [(at * 10_000 + i, "t", "en", s) for i, s in enumerate(sizes) for at in range(sizes[s])]
+    found = pfair_mixing.mix(frame(spark, rows), 1.0, 4).toPandas()
+    order = sorted(sizes)
+    want, end = edf([sizes[s] for s in order], [-(-sizes[s] // 4) for s in order])
+    assert dict(zip(zip(map(order.index, found.source), found._block, strict=True), found._slot, strict=True)) == want
+    assert (found._exact == (found._slot < end)).all() and len(found) == len(rows) and found._position.is_unique
+    few = frame(spark, rows[:360])
+    places = lambda df: sorted(map(tuple, df.select("doc_id", "_block", "_slot", "_release", "_deadline", "_position", "_exact").collect()))
+    assert places(pfair_mixing.mix(few, 1.0, 4)) == places(pfair_mixing.mix(few, 1.0, 4, work=500, most_sources=10))
+
+
+@pytest.mark.parametrize("weights, blocks, chunk", [([1] * 60, [1] * 60, 7), ([1 << 36, 1, 1], [30, 3, 3], 4), ([7, 90, 1, 33, 2, 2], [20, 40, 1, 33, 5, 2], 8)])
+def test_schedule_in_small_runs(spark, weights, blocks, chunk):
+    """All released at once, slots far apart, unlike weights: in runs of a few blocks as in one sequence."""
+    of = spark.createDataFrame([(i, w, sum(weights), b) for i, (w, b) in enumerate(zip(weights, blocks, strict=True))], "_index int, _w long, _all long, _blocks long")
+    plan, end = pfair_mixing.schedule(of, chunk)
+    found = {(r._i, r._b): r._slot for r in plan.collect()}
+    if max(weights) < 1 << 36:
+        want, ends = edf(weights, blocks)
+        assert found == want and end == (len(want) if ends is None else ends)
+    else:  # the first source runs alone until its blocks end; then each block at its release, or after the other that is released with it
+        total = sum(weights)
+        assert [found[0, b] for b in range(30)] == list(range(30)) and end == 30 and [found[1, 0], found[2, 0]] == [30, 31]
+        assert [found[i, b] - b * total for b in (1, 2) for i in (1, 2)] == [0, 1, 0, 1]
+
+
 # 7
 
 
