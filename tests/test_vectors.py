@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -73,3 +74,29 @@ def test_join_matches_single_queries(spark, codec, metric):
     for q in range(3):
         one_ = [r.id for r in knn.nearest(df, rows[q][1], config, 4).collect()]
         assert [r.id for r in sorted(joined, key=lambda r: r["rank"]) if r.query_id == q] == one_
+
+
+@pytest.mark.parametrize("codec,metric", [("F32", "cosine"), ("INT8", "cosine"), ("BIT", "hamming")])
+def test_join_memory_is_bounded(codec, metric):
+    """A block of 4,096 queries over a batch of 10,000 rows held 41 million scores several times over."""
+    rng = np.random.default_rng(5)
+    config = CollectionConfig(8, codec, metric)
+    x, ids = rng.normal(size=(10_000, 8)), rng.permutation(10_000)
+    q = knn._encode_all(x[: knn.QUERY_BLOCK], codec)
+    tracemalloc.start()
+    best = knn._Best(q, 3, config)
+    for part in np.array_split(np.arange(10_000), 3):
+        best.add(ids[part], x[part])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6
+    s = knn._scores(q[:50], knn._encode_all(x, codec), metric, 8)
+    want = [sorted(zip(-row.round(12), ids, strict=True))[:3] for row in s]
+    assert [list(zip(-a.round(12), b, strict=True)) for a, b in zip(best.score[:50], best.id[:50], strict=True)] == want
+
+
+def test_join_edges(spark):
+    df = spark.createDataFrame([(3, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (4, [1.0])], "id long, embedding array<double>")
+    ask = lambda k: [(r.id, r.score) for r in knn.nearest_join(df.where("id = 1").withColumnRenamed("id", "query_id"), df, CollectionConfig(2), k).orderBy("rank").collect()]
+    assert ask(0) == [] and ask(1) == [(1, 1.0)] and ask(9) == [(1, 1.0), (3, 1.0), (2, 0.0)]
+    assert knn.nearest_join(df.where("id > 9").withColumnRenamed("id", "query_id"), df, CollectionConfig(2), 2).count() == 0
