@@ -100,3 +100,13 @@ def test_join_edges(spark):
     ask = lambda k: [(r.id, r.score) for r in knn.nearest_join(df.where("id = 1").withColumnRenamed("id", "query_id"), df, CollectionConfig(2), k).orderBy("rank").collect()]
     assert ask(0) == [] and ask(1) == [(1, 1.0)] and ask(9) == [(1, 1.0), (3, 1.0), (2, 0.0)]
     assert knn.nearest_join(df.where("id > 9").withColumnRenamed("id", "query_id"), df, CollectionConfig(2), 2).count() == 0
+
+
+def test_join_ties_by_decimals(spark):
+    """Scores of 1 and a little less go by id where nine decimals count; the scores themselves stay as they are."""
+    df = spark.createDataFrame([(5, [1.0, 0.0]), (2, [1.0, 2e-6]), (1, [1.0, 1e-3]), (7, [1.0, 1e-6])], "id long, embedding array<double>")
+    queries = df.where("id = 5").withColumnRenamed("id", "query_id")
+    ask = lambda **more: [(r.id, r.score) for r in knn.nearest_join(queries, df, CollectionConfig(2), 2, **more).orderBy("rank").collect()]
+    assert [x for x, _ in ask()] == [5, 7]
+    found = ask(digits=9)
+    assert [x for x, _ in found] == [2, 5] and 0 < 1 - found[0][1] < 1e-11
