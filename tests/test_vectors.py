@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import vectors as V
-from lodestone.operators import knn
+from lodestone.operators import knn, retrieval
 from lodestone.types import CollectionConfig, DimensionMismatch, InvalidConfig
 
 
@@ -110,3 +110,17 @@ def test_join_ties_by_decimals(spark):
     assert [x for x, _ in ask()] == [5, 7]
     found = ask(digits=9)
     assert [x for x, _ in found] == [2, 5] and 0 < 1 - found[0][1] < 1e-11
+
+
+def test_quality_over_copies(spark, monkeypatch):
+    """Copies of a vector in other tiles and query blocks tie to nine decimals, so the least ids are found first."""
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 7)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(200, 64))
+    rows = [(c * 200 + i, v.tolist()) for c in range(6) for i, v in enumerate(base)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(3)
+    queries = df.where("id % 200 < 20 AND id >= 1000").withColumnRenamed("id", "query_id")
+    found = knn.nearest_join(queries, df, CollectionConfig(64), 5, digits=9)
+    ranks = retrieval.rank_of_expected(queries.select("query_id", (F.col("query_id") % 200 + 400).alias("expected_id")), found)
+    assert tuple(retrieval.retrieval_quality(ranks, (1, 5)).first()) == pytest.approx((0.0, 1.0, 1 / 3))
+    assert {tuple(r.ids) for r in found.groupBy("query_id").agg(F.collect_list("id").alias("ids")).select(F.transform(F.array_sort("ids"), lambda x: F.floor(x / 200)).alias("ids")).collect()} == {(0, 1, 2, 3, 4)}
