@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .filters import VariantField, variant_path
 
+#: Rows of a range that one task sorts when all rows are placed.
+RANGE_ROWS = 250_000
+
 
-def _sort_keys(value: Column, ascending: bool, dialect: str, kind: str) -> list[Column]:
-    """Numbers by value, the rest by text. cli: null and missing first ascending, last descending; viewer: missing last either way."""
+def _sort_keys(value: Column, ascending: bool, dialect: str, kind: str) -> list[tuple[Column, Callable]]:
+    """What a path sorts by, and which way. Numbers by value, the rest by text. cli: null and missing first ascending, last descending; viewer: missing last either way."""
     if kind == "variant":
         field = VariantField(value)
         missing = value.isNull() | F.coalesce(F.is_variant_null(value), F.lit(False)) if dialect == "cli" else value.isNull()
@@ -21,8 +26,8 @@ def _sort_keys(value: Column, ascending: bool, dialect: str, kind: str) -> list[
         number, text = (F.lit(None).cast("double"), value) if kind == "string" else (value, F.lit(None).cast("string"))
     text = F.collate(text, "UNICODE")
     if ascending:
-        return [F.desc(missing) if dialect == "cli" else F.asc(missing), F.asc_nulls_last(number), F.asc(text)]
-    return [F.asc(missing), F.desc_nulls_first(number), F.desc(text)]
+        return [(missing, F.desc if dialect == "cli" else F.asc), (number, F.asc_nulls_last), (text, F.asc)]
+    return [(missing, F.asc), (number, F.desc_nulls_first), (text, F.desc)]
 
 
 def sort(df: DataFrame, keys: dict[str, int], dialect: str = "cli", context: str = "context", seq: str = "seq") -> DataFrame:
@@ -32,6 +37,10 @@ def sort(df: DataFrame, keys: dict[str, int], dialect: str = "cli", context: str
 
 def sort_columns(df: DataFrame, keys: dict[str, int], dialect: str = "cli", context: str = "context") -> list[Column]:
     """What sort orders by, before the order of insertion."""
+    return [way(c) for c, way in _sort_pairs(df, keys, dialect, context)]
+
+
+def _sort_pairs(df: DataFrame, keys: dict[str, int], dialect: str, context: str) -> list[tuple[Column, Callable]]:
     order, kinds = [], {f.name: f.dataType.simpleString() for f in df.schema.fields}
     for path, way in keys.items():
         if dialect == "viewer" and way == 0:
@@ -44,6 +53,27 @@ def sort_columns(df: DataFrame, keys: dict[str, int], dialect: str = "cli", cont
     return order
 
 
+def places(df: DataFrame, keys: dict[str, int], ident: str, folder: str, dialect: str = "cli", context: str = "context", seq: str = "seq") -> DataFrame:
+    """ident and place, each row's rank from 1 in sort's order, with no more than about RANGE_ROWS rows sorted in a task.
+
+    Rows are ranged over tasks by the sort's keys and seq, sorted there and written to folder, as ranges
+    drawn again would differ; the ranges' counts give each one's first place.
+    """
+    pairs = _sort_pairs(df, keys, dialect, context)
+    keyed = df.select(F.col(ident).alias("_id"), F.col(seq).alias("_seq"), *(c.alias(f"_key{n}") for n, (c, _) in enumerate(pairs)))
+    order = [*(way(f"_key{n}") for n, (_, way) in enumerate(pairs)), F.asc("_seq")]
+    ranged = keyed.repartitionByRange(max(1, -(-df.count() // RANGE_ROWS)), *order).sortWithinPartitions(*order)
+    own = ranged.select(F.col("_id").alias(ident), F.monotonically_increasing_id().alias("_at"))  # the range above 33 bits of the row's number in it
+    own.write.mode("overwrite").parquet(folder)
+    own = df.sparkSession.read.schema(own.schema).parquet(folder).withColumn("_range", F.shiftright("_at", 33).cast("int"))
+    first, total = [], 0
+    for r in own.groupBy("_range").count().orderBy("_range").collect():  # a row a range
+        first.append((r["_range"], total + 1))
+        total += r["count"]
+    starts = df.sparkSession.createDataFrame(first, "_range int, _first long")
+    return own.join(F.broadcast(starts), "_range").select(ident, (F.col("_first") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias("place"))
+
+
 def find(df: DataFrame, where: Column | None = None, keys: dict[str, int] | None = None, skip: int = 0, limit: int = 50, dialect: str = "cli", seq: str = "seq") -> DataFrame:
     """Matching rows, sorted, one page of them; without keys in insertion order."""
     rows = df if where is None else df.where(where)

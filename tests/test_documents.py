@@ -98,3 +98,19 @@ def test_language(spark):
     assert dsl.run(c, "db.stats()").first().entry_count == 2
     assert dsl.run(c, 'db.delete("x")').df.count() == 1
     assert [r.id for r in dsl.run(c, "db.query([0, 1]).topK(1)").collect()] == ["y"]
+
+
+@pytest.mark.parametrize("dialect", ["cli", "viewer"])
+@pytest.mark.parametrize("way", [1, -1])
+def test_places(spark, tmp_path, monkeypatch, dialect, way):
+    """The places of all rows in sort's order, from ranges of a few rows; equal keys keep their order."""
+    monkeypatch.setattr(documents, "RANGE_ROWS", 10)
+    texts = ['{"x":10}', '{"x":9}', "{}", '{"x":null}', '{"x":"b"}', '{"x":"A"}', '{"x":"a"}'] * 30
+    df = spark.createDataFrame(list(enumerate(texts)), "seq long, c string").select("seq", (F.col("seq") * 3).alias("n"), F.parse_json("c").alias("context"))
+    found = documents.places(df, {"x": way}, "n", str(tmp_path / "p"), dialect)
+    assert "SinglePartition" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.schema.simpleString() == "struct<n:bigint,place:bigint>"
+    want = [r.n for r in documents.sort(df, {"x": way}, dialect).collect()]
+    assert sorted((r.place, r.n) for r in found.collect()) == list(enumerate(want, 1))
+    assert spark.read.parquet(str(tmp_path / "p")).select(F.shiftright("_at", 33)).distinct().count() > 10
+    assert documents.places(df.where("seq < 0"), {"x": way}, "n", str(tmp_path / "e"), dialect).collect() == []
