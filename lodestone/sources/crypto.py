@@ -87,6 +87,18 @@ def sealed_records(spark: SparkSession, records: list[bytes], dek: bytes) -> lis
     return [bytes(r.blob) for r in made]
 
 
+def opened_head(spark: SparkSession, path: str, head: bytes, source: KeySource, most: int) -> bytes:
+    """The first plain bytes of an encrypted file that begins with head. It is opened on an executor, as only a whole file can be."""
+    if head[:1] == b"\x02":
+        data_key(spark, head, source)  # says what is wrong with an envelope or a key
+    elif head[:1] != b"\x01" or len(head) < 46:
+        raise FormatError("not encrypted, or cut short")
+    row = spark.read.format("binaryFile").load(path).select(F.substring(opened(F.col("content"), source), 1, most).alias("head")).first()
+    if row is None or row["head"] is None:
+        raise InvalidConfig("no key opens this file")
+    return bytes(row["head"])
+
+
 def encrypt_v1(spark: SparkSession, data: bytes, source: KeySource) -> bytes:
     salt = os.urandom(16)
     iv, tag, body = _seal(spark, data, source.derive(salt))

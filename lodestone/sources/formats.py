@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,10 @@ from ..types import CollectionConfig, FormatError
 from . import binary, crypto
 
 
+#: Bytes of entries that a task packs together, and that are handed to a store at once.
+PIECE = 4 << 20
+
+
 def read_entries(spark: SparkSession, path: str, kind: str = "jsonl") -> DataFrame:
     """id, text, embedding, context (VARIANT) of a file of entries; a malformed line is an error."""
     schema = "id string, text string, embedding array<double>, context variant"
@@ -82,21 +88,55 @@ def as_table(df: DataFrame, rows: int = 50) -> str:
     return "\n".join([*lines, *("  ".join(str("" if v is None else v).ljust(w) for v, w in zip(r, width, strict=True)) for r in shown)])
 
 
-def snapshot_bytes(df: DataFrame, config: CollectionConfig) -> bytes:
-    """One snapshot file of a collection. The format is a single file, so the rows pass the driver, a partition at a time."""
+def snapshot_parts(df: DataFrame, config: CollectionConfig) -> Iterator[bytes]:
+    """One snapshot file of a collection, in pieces. The format is a single file, so its bytes pass the driver once, encoded and packed by the tasks."""
     coded = df.orderBy("seq").select("id_type", "id", V.encode(F.col("embedding"), config.quantization, config.dimensions).alias("q"), F.to_json("context").alias("context"))
-    rows = ({"id_type": r.id_type, "id": r.id, "context": r.context, **{"min": None, "max": None}, **r.q.asDict()} for r in coded.toLocalIterator())
-    return binary.encode_snapshot(rows, config)
+    ends = [F.col(f"q.{c}") if config.quantization == "INT8" else F.lit(None).cast("double").alias(c) for c in ("min", "max")]
+    rows = coded.select("id_type", "id", "q.data", *ends, "context")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lambda entries: pa.RecordBatch.from_pylist([{"n": len(entries), "size": len(raw := b"".join(entries)), "packed": pa.compress(raw, "zstd", asbytes=True)}])
+        held, size = [], 0
+        for batch in batches:
+            for entry in binary.encode_entries(batch, config.quantization):
+                held.append(entry)
+                size += len(entry)
+                if size >= PIECE:
+                    yield made(held)
+                    held, size = [], 0
+        if held:
+            yield made(held)
+
+    packed = list(rows.mapInArrow(pack, "n bigint, size bigint, packed binary").toLocalIterator())
+    yield binary.snapshot_head(config, sum(r.n for r in packed))
+    for r in packed:
+        yield pa.decompress(bytes(r.packed), r.size, "zstd", asbytes=True)
+
+
+def snapshot_bytes(df: DataFrame, config: CollectionConfig) -> bytes:
+    return b"".join(snapshot_parts(df, config))
+
 
+def write_bytes(spark: SparkSession, data: bytes | Iterable[bytes], path: str, append: bool = False) -> None:
+    """Through Hadoop's file systems: a temporary name, then a rename over the target, so a reader sees the old file or the new.
 
-def write_bytes(spark: SparkSession, data: bytes, path: str) -> None:
-    """Through Hadoop's file systems: a temporary name, then a rename over the target, so a reader sees the old file or the new."""
+    append puts the target's bytes before, copied inside the store's client.
+    """
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     target = jvm.org.apache.hadoop.fs.Path(path)
     temp = jvm.org.apache.hadoop.fs.Path(path + ".tmp")
-    out = target.getFileSystem(conf).create(temp, True)
+    fs = target.getFileSystem(conf)
+    out = fs.create(temp, True)
     try:
-        out.write(bytearray(data))
+        if append and fs.exists(target):
+            old = fs.open(target)
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(old, out, PIECE, False)
+            finally:
+                old.close()
+        for part in [data] if isinstance(data, bytes) else data:
+            for at in range(0, len(part), PIECE):
+                out.write(bytearray(part[at : at + PIECE]))
     finally:
         out.close()
     replace(spark, path + ".tmp", path)
@@ -138,6 +178,19 @@ def read_bytes(spark: SparkSession, path: str) -> bytes | None:
     return bytes(row.content) if row else b""  # an empty file has no row
 
 
+def read_head(spark: SparkSession, path: str, most: int) -> bytes | None:
+    """The first bytes of a file, or None where there is none."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(target):
+        return None
+    source = fs.open(target)
+    try:
+        return bytes(source.readNBytes(most))
+    finally:
+        source.close()
+
+
 def migrate(spark: SparkSession, source: str, target: str, old: crypto.KeySource | None = None, new: crypto.KeySource | None = None, force: bool = False) -> str:
     """Copies a snapshot under another key or none, verified by reading it back.
 

@@ -2,9 +2,11 @@
 
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions import vectors as V
 from lodestone.operators.collection import Collection, from_rows
 from lodestone.sources import binary, crypto, datasource, drivers, formats
 from lodestone.types import CollectionConfig, DimensionMismatch, FormatError
@@ -127,3 +129,43 @@ def test_viewer_rows(spark, tmp_path):
     r = binary.read_snapshots(spark, str(tmp_path / "b.vcr"), viewer=True).first()
     assert r.id == "bigint:12" and r.embedding == [1, 0, 1, 0]
     assert binary.unframed(struct.pack("<I", 2) + b"ab" + b"\x01") == ([b"ab"], True)
+
+
+@pytest.mark.parametrize("key", [None, KEY])
+def test_reads_take_heads_only(spark, tmp_path, monkeypatch, key):
+    """Neither an append nor a read brings whole files to the driver, which they did for the settings in their heads."""
+    d = drivers.FileDriver(spark, str(tmp_path), key, log=True)
+    d.write("x", collection(spark))
+    d.append("x", OPS[:1])
+    monkeypatch.setattr(formats, "read_bytes", lambda *a: pytest.fail("a whole file was read"))
+    assert d.config("x") == CollectionConfig(2)
+    assert d.append("x", OPS[1:]) == 4 and state(d.read("x")) == MERGED
+
+
+@pytest.mark.parametrize("codec", ["F32", "INT8", "BIT"])
+def test_snapshot_parts(spark, monkeypatch, codec):
+    """Entries encoded by the tasks are those encoded one by one, in order, however they are cut."""
+    rows = [(f"é{i}", [float(i), -1.5, i / 7], None if i % 3 else f'{{"v":{i}}}', 100 - i) for i in range(60)]
+    df = spark.createDataFrame(rows, "id string, embedding array<double>, context string, seq long").repartition(5)
+    config = CollectionConfig(3, codec, embedder_id="m")
+    c = Collection(from_rows(df, "id", context="context", seq="seq"), config)
+    coded = c.df.orderBy("seq").select("id_type", "id", V.encode(F.col("embedding"), codec, 3).alias("q"), F.to_json("context").alias("context")).collect()
+    want = binary.encode_snapshot([{"id_type": r.id_type, "id": r.id, "context": r.context, **r.q.asDict()} for r in coded], config)
+    monkeypatch.setattr(formats, "PIECE", 100)
+    parts = list(formats.snapshot_parts(c.df, config))
+    assert len(parts) > 5 and b"".join(parts) == want == formats.snapshot_bytes(c.df, config)
+    assert b"".join(formats.snapshot_parts(c.df.limit(0), config)) == binary.encode_snapshot([], config)
+    for file in (want, binary.brotli(want), binary.brotli(iter(parts))):
+        assert binary.head_of(file) == binary.snapshot_header(want)
+
+
+def test_head_of_a_cut_file():
+    """The head of a large packed file is read from its first bytes."""
+    config = CollectionConfig(64, embedder_id="m" * 60_000)
+    entries = [{"id_type": 0, "id": str(i), "data": v, "context": None} for i, v in enumerate(np.random.default_rng(1).normal(size=(900, 64)))]
+    whole = binary.encode_snapshot(entries, config)
+    packed = binary.brotli(whole)
+    assert len(packed) > binary.HEAD_BYTES
+    assert binary.head_of(packed[: binary.HEAD_BYTES]) == binary.head_of(whole[: binary.HEAD_BYTES]) == binary.snapshot_header(whole)
+    with pytest.raises(FormatError, match="brotli"):
+        binary.head_of(b"no snapshot at all")
